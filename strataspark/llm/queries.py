@@ -6,19 +6,27 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import setsketch
+from . import decontam, linededup, setsketch
 from .common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.line_dedup(read(spark, sf_dir, "documents"))
+
+
 def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return setsketch.near_duplicates(read(spark, sf_dir, "documents"), shingle=3, percent=85)
 
 
+def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.scan(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")).drop("items")
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op4_minhash_near_dedup,)}
+    return {f.__name__: f for f in (op2_line_dedup, op4_minhash_near_dedup, op9_benchmark_decontamination)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_line_dedup": linededup.SQL, "op9_benchmark_decontamination": decontam.SQL}
