@@ -6,12 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, linededup, setsketch
+from . import bpe, decontam, linededup, setsketch, toxicity
 from .common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.line_dedup(read(spark, sf_dir, "documents"))
 
@@ -24,8 +28,19 @@ def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return decontam.scan(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")).drop("items")
 
 
+def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digests(read(spark, sf_dir, "documents"), word_bpe())
+
+
+def word_bpe() -> str:
+    """The tokenizer file of the contract."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op2_line_dedup, op4_minhash_near_dedup, op9_benchmark_decontamination)}
+    return {f.__name__: f for f in (op1_toxicity, op2_line_dedup, op4_minhash_near_dedup, op9_benchmark_decontamination, op10_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:

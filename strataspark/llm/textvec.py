@@ -142,3 +142,39 @@ def chunks(batches: Iterator[pa.RecordBatch], column: str, most: int = 32 << 20)
             held += int(size)
         if batch.num_rows > at:
             yield batch.slice(at)
+
+
+def grams(column: pa.Array | pa.ChunkedArray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all runs of `size` bytes inside words, and the offsets of the texts; A-Z count as a-z."""
+    column = as_large(column)
+    count = len(column)
+    _, offs, data = column.buffers() if count else (None, None, None)
+    if data is None:
+        return np.empty(0, np.uint64), np.zeros(count + 1, np.int64)
+    offs = np.frombuffer(offs, np.int64)[column.offset : column.offset + count + 1]
+    buf = np.frombuffer(data, np.uint8)[offs[0] : offs[-1]]
+    offs = offs - offs[0]
+    found, places, at, n = [], [], 0, len(buf)
+    while at < n:
+        to = min(n, at + PIECE)
+        piece = buf[at : min(n, to + size - 1)]
+        if len(piece) < size:
+            break
+        up, down = _power(len(piece))
+        total = np.empty(len(piece) + 1, np.uint64)
+        total[0] = 0
+        np.cumsum(VALUE[piece] * up[: len(piece)], out=total[1:])
+        bad = np.zeros(len(piece) + 1, np.int32)
+        np.cumsum(SPACE[piece], out=bad[1:])
+        ok = bad[size:] == bad[:-size]
+        lo, hi = np.searchsorted(offs, [at + 1, at + len(piece)])
+        for b in offs[lo:hi] - at:  # a run must not reach over the end of a text
+            ok[max(0, b - size + 1) : b] = False
+        i = np.flatnonzero(ok)
+        found.append(mix((total[i + size] - total[i]) * down[i]))
+        places.append(i + at)
+        at = to
+    if not found:
+        return np.empty(0, np.uint64), np.zeros(count + 1, np.int64)
+    places = np.concatenate(places)
+    return np.concatenate(found), np.searchsorted(places, offs).astype(np.int64)
