@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontam, linededup, setsketch, toxicity
+from . import bpe, decontam, linededup, ngram_bloom, setsketch, toxicity
 from .common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -24,6 +24,10 @@ def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return setsketch.near_duplicates(read(spark, sf_dir, "documents"), shingle=3, percent=85)
 
 
+def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_bloom.score(read(spark, sf_dir, "documents"))
+
+
 def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.scan(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")).drop("items")
 
@@ -40,7 +44,7 @@ def word_bpe() -> str:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_toxicity, op2_line_dedup, op4_minhash_near_dedup, op9_benchmark_decontamination, op10_bpe)}
+    return {f.__name__: f for f in (op1_toxicity, op2_line_dedup, op4_minhash_near_dedup, op8_lm_scoring, op9_benchmark_decontamination, op10_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
