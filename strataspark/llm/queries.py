@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontam, linededup, ngram_bloom, setsketch, toxicity
+from . import bpe, chat, decontam, linededup, ngram_bloom, ogg, setsketch, toxicity
 from .common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -24,6 +24,14 @@ def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return setsketch.near_duplicates(read(spark, sf_dir, "documents"), shingle=3, percent=85)
 
 
+def op5_ogg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ogg.media_columns(read(spark, sf_dir, "documents"), with_media=False)
+
+
+def op7_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.format_chats(read(spark, sf_dir, "conversations"))
+
+
 def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_bloom.score(read(spark, sf_dir, "documents"))
 
@@ -44,7 +52,7 @@ def word_bpe() -> str:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_toxicity, op2_line_dedup, op4_minhash_near_dedup, op8_lm_scoring, op9_benchmark_decontamination, op10_bpe)}
+    return {f.__name__: f for f in (op1_toxicity, op2_line_dedup, op4_minhash_near_dedup, op5_ogg_media, op7_chat_formatting, op8_lm_scoring, op9_benchmark_decontamination, op10_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
