@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, decontam, linededup, ngram_bloom, ogg, setsketch, toxicity
+from . import bpe, chat, decontam, linededup, ngram_bloom, ogg, pii, secrets, setsketch, toxicity
 from .common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -28,6 +28,10 @@ def op5_ogg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ogg.media_columns(read(spark, sf_dir, "documents"), with_media=False)
 
 
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(read(spark, sf_dir, "documents"))
+
+
 def op7_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.format_chats(read(spark, sf_dir, "conversations"))
 
@@ -52,7 +56,8 @@ def word_bpe() -> str:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_toxicity, op2_line_dedup, op4_minhash_near_dedup, op5_ogg_media, op7_chat_formatting, op8_lm_scoring, op9_benchmark_decontamination, op10_bpe)}
+    found = (op1_toxicity, op2_line_dedup, op3_pii_surrogates, op4_minhash_near_dedup, op5_ogg_media, op6_secret_scan, op7_chat_formatting, op8_lm_scoring, op9_benchmark_decontamination, op10_bpe)
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -74,9 +74,10 @@ def fit(positive: pa.Array, unlabelled: pa.Array, prior: float, kind: str, most:
     df_u = np.bincount(place[keys[place] == all_u], minlength=len(keys)) if len(keys) else df_p
     p, u = (df_p + 0.0) / max(1, len(pos)), (df_u + 0.5) / (len(unl) + 1)
     lift = p / u
-    ratio = df_p * np.log(np.maximum(lift, 1e-9))
-    # at least half of the texts with the feature are toxic, going by the prior, and it is no oddity of a few copies
-    chosen = np.flatnonzero((df_p >= max(5, 0.01 * len(pos))) & (prior * lift >= 0.5))
+    # evidence against chance, as a log-likelihood ratio that must outweigh the number of features tried
+    ratio = df_p * np.log(np.maximum(lift, 1e-9)) - (df_p - df_p / np.maximum(lift, 1e-9))
+    # and at least half of the texts with the feature are toxic, going by the prior
+    chosen = np.flatnonzero((ratio >= np.log(max(2, len(keys))) + 2.0) & (prior * lift >= 0.5) & (df_p >= 0.01 * len(pos)))
     chosen = np.sort(chosen[np.argsort(-ratio[chosen], kind="stable")[:most]])
     keys = keys[chosen]
 
