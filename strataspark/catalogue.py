@@ -4,14 +4,676 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .functions import angles, profiles, tidy
+from .functions.grid import Grid
+from .operators import column, constraints, regions, relations, statistics, traces
+from .plans import bands
+from .sources.views import view, with_views
+from .streaming import logs
 
 Query = Callable[[SparkSession, str], DataFrame]
+_queries: dict[str, Query] = {}
+_sql: dict[str, str] = {}
+
+
+def register(views: str, sql: str | None) -> Callable[[Callable[..., DataFrame]], Callable[..., DataFrame]]:
+    """Registers a function of the named views as a query, and its SQL."""
+
+    def add(f: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+        _queries[f.__name__] = lambda spark, sf_dir: f(*[view(spark, sf_dir, v) for v in views.split()])
+        if sql is not None:
+            _sql[f.__name__] = with_views(views, sql)
+        return f
+
+    return add
 
 
 def queries() -> dict[str, Query]:
-    return {}
+    from . import modelling
+
+    return _queries | modelling.queries()
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_sql)
+
+
+def _vector(df: DataFrame, key: str, v: angles.Vector, names: tuple[str, ...] = ("vx", "vy", "vz")) -> DataFrame:
+    return df.select(key, *[tidy(c).alias(n) for c, n in zip(v, names, strict=True)])
+
+
+def _normal(digits: int = 9) -> angles.Vector:
+    """Normals rounded before their angles are taken, so that both engines see the same number at axes."""
+    return tuple(tidy(c, digits) for c in angles.strike_dip_normal("strike", "dip"))
+
+
+_N = "n AS (SELECT *, round(sin(radians(dip))*cos(radians(strike)), 9)+0.0 AS nx, round(-sin(radians(dip))*sin(radians(strike)), 9)+0.0 AS ny, round(cos(radians(dip)), 9)+0.0 AS nz FROM obs_orient)"
+
+# ---- orientations
+
+
+@register("obs_orient", "SELECT oid, round(sin(radians(dip))*cos(radians(strike)), 6)+0.0 AS vx, round(-sin(radians(dip))*sin(radians(strike)), 6)+0.0 AS vy, round(cos(radians(dip)), 6)+0.0 AS vz FROM obs_orient")
+def strike_dip_to_normal(o: DataFrame) -> DataFrame:
+    return _vector(o, "oid", angles.strike_dip_normal("strike", "dip"))
+
+
+@register("obs_orient", "SELECT oid, round(sin(radians(dip))*sin(radians(strike)), 6)+0.0 AS vx, round(sin(radians(dip))*cos(radians(strike)), 6)+0.0 AS vy, round(cos(radians(dip)), 6)+0.0 AS vz FROM obs_orient")
+def dipdir_to_normal(o: DataFrame) -> DataFrame:
+    return _vector(o, "oid", angles.dip_direction_normal("strike", "dip"))
+
+
+@register("obs_orient", "SELECT oid, round(sin(radians(strike))*cos(radians(dip)), 6)+0.0 AS vx, round(cos(radians(strike))*cos(radians(dip)), 6)+0.0 AS vy, round(-sin(radians(dip)), 6)+0.0 AS vz FROM obs_orient")
+def plunge_to_vector(o: DataFrame) -> DataFrame:
+    return _vector(o, "oid", angles.plunge_vector("dip", "strike"))
+
+
+@register("obs_orient", f"WITH {_N} SELECT oid, round(degrees(-atan2(ny, nx)), 5)+0.0 AS strike, round(degrees(acos(least(1.0, greatest(-1.0, nz/sqrt(nx*nx+ny*ny+nz*nz))))), 5)+0.0 AS dip FROM n")
+def normal_to_strike_dip(o: DataFrame) -> DataFrame:
+    n = _normal()
+    return o.select("oid", tidy(angles.normal_strike(n), 5).alias("strike"), tidy(angles.normal_dip(n), 5).alias("dip"))
+
+
+@register("obs_orient", f"WITH {_N} SELECT oid, round((degrees(atan2(nx, ny)) + 360.0) % 360.0, 5)+0.0 AS dip_direction, round(degrees(acos(least(1.0, greatest(-1.0, nz/sqrt(nx*nx+ny*ny+nz*nz))))), 5)+0.0 AS dip FROM n")
+def normal_to_dipdir(o: DataFrame) -> DataFrame:
+    n = _normal()
+    return o.select("oid", tidy(angles.normal_dip_direction(n), 5).alias("dip_direction"), tidy(angles.normal_dip(n), 5).alias("dip"))
+
+
+@register("obs_orient", "SELECT oid, round(-sin(radians(strike)), 6)+0.0 AS vx, round(-cos(radians(strike)), 6)+0.0 AS vy, 0.0::DOUBLE AS vz FROM obs_orient")
+def strike_vector(o: DataFrame) -> DataFrame:
+    return _vector(o, "oid", angles.strike_vector("strike"))
+
+
+@register("obs_orient", "SELECT oid, round(-cos(radians(strike))*cos(radians(dip)), 6)+0.0 AS vx, round(-sin(radians(strike))*cos(radians(dip)), 6)+0.0 AS vy, round(-sin(radians(dip)), 6)+0.0 AS vz FROM obs_orient")
+def dip_vector(o: DataFrame) -> DataFrame:
+    return _vector(o, "oid", angles.dip_vector("strike", "dip"))
+
+
+@register("obs_orient", f"WITH {_N} SELECT oid, round(nx*cos(radians(strike)) - ny*sin(radians(strike)), 5)+0.0 AS vx, round(nx*sin(radians(strike)) + ny*cos(radians(strike)), 5)+0.0 AS vy, round(nz, 5)+0.0 AS vz FROM n")
+def rodrigues_rotate(o: DataFrame) -> DataFrame:
+    """About the vertical axis by the strike."""
+    turned = angles.rotate(_normal(), (F.lit(0.0), F.lit(0.0), F.lit(1.0)), "strike")
+    return o.select("oid", *[tidy(c, 5).alias(n) for c, n in zip(turned, ("vx", "vy", "vz"), strict=True)])
+
+
+@register("obs_orient", f"WITH {_N} SELECT oid, round(1.0 - (nx+ny)*nx, 6)+0.0 AS vx, round(1.0 - (nx+ny)*ny, 6)+0.0 AS vy, round(-(nx+ny)*nz, 6)+0.0 AS vz FROM n")
+def project_on_plane(o: DataFrame) -> DataFrame:
+    return _vector(o, "oid", angles.project_on_plane((F.lit(1.0), F.lit(1.0), F.lit(0.0)), _normal()))
+
+
+@register("obs_orient", f"WITH {_N} SELECT oid, round(ny, 6)+0.0 AS vx, round(-nx, 6)+0.0 AS vy, 0.0::DOUBLE AS vz FROM n")
+def cross_product_feature(o: DataFrame) -> DataFrame:
+    """Normal times the vertical."""
+    return _vector(o, "oid", angles.cross(_normal(), (F.lit(0.0), F.lit(0.0), F.lit(1.0))))
+
+
+@register("obs_orient", "SELECT oid, round(sin(radians(strike)), 6)+0.0 AS line_x, round(cos(radians(strike)), 6)+0.0 AS line_y, round(cos(radians(strike)), 6)+0.0 AS tick_x, round(-sin(radians(strike)), 6)+0.0 AS tick_y FROM obs_orient")
+def strike_symbol(o: DataFrame) -> DataFrame:
+    (a, b), (c, d) = angles.strike_symbol("strike")
+    return o.select("oid", *[tidy(x).alias(n) for x, n in ((a, "line_x"), (b, "line_y"), (c, "tick_x"), (d, "tick_y"))])
+
+
+@register("obs_orient", "SELECT unit, round(avg(dip), 6)+0.0 AS mean_dip, round(avg(sin(radians(dip))*cos(radians(strike))), 6)+0.0 AS mx, count(*) AS n FROM obs_orient GROUP BY unit")
+def mean_orientation(o: DataFrame) -> DataFrame:
+    nx, _, _ = angles.strike_dip_normal("strike", "dip")
+    return o.groupBy("unit").agg(tidy(F.avg("dip")).alias("mean_dip"), tidy(F.avg(nx)).alias("mx"), F.count("*").alias("n"))
+
+
+# ---- constraint table and validators
+
+
+@register("obs_orient", "SELECT oid, round(sin(radians(dip))*cos(radians(strike))*CASE WHEN polarity = 0 THEN -1 ELSE polarity END, 6)+0.0 AS gx, round(-sin(radians(dip))*sin(radians(strike))*CASE WHEN polarity = 0 THEN -1 ELSE polarity END, 6)+0.0 AS gy, round(cos(radians(dip))*CASE WHEN polarity = 0 THEN -1 ELSE polarity END, 6)+0.0 AS gz, 1.0::DOUBLE AS w, 0 AS coord FROM obs_orient")
+def prepare_constraints(o: DataFrame) -> DataFrame:
+    return constraints.prepare(o).select("oid", *[tidy(c).alias(c) for c in ("gx", "gy", "gz")], "w", "coord")
+
+
+@register("obs_points", "SELECT pid, CASE WHEN val > 0 THEN val ELSE 1.0 END AS w FROM obs_points")
+def fill_weights(p: DataFrame) -> DataFrame:
+    return constraints.fill_weights(p.select("pid", F.when(F.col("val") > 0, F.col("val")).otherwise(F.lit(float("nan"))).alias("w")))
+
+
+@register("obs_points", "SELECT pid, X, val FROM obs_points WHERE Z > 0 AND val > 0")
+def drop_invalid_rows(p: DataFrame) -> DataFrame:
+    bad = p.select("pid", "X", "val", F.when(F.col("Z") > 0, F.col("X")).otherwise(F.lit(float("inf"))).alias("a"), F.when(F.col("val") > 0, F.col("val")).alias("b"))
+    return constraints.drop_invalid(bad, ["a", "b"]).select("pid", "X", "val")
+
+
+@register("obs_points", "SELECT 'value' AS family, count(*) AS n_rows, count(*) AS n_active, 1.0::DOUBLE AS w_min, 1.0::DOUBLE AS w_mean, 1.0::DOUBLE AS w_max, count(*) FILTER (WHERE NOT (X BETWEEN 5 AND 45 AND Y BETWEEN 0 AND 50 AND Z BETWEEN 0 AND 50)) AS n_outside FROM obs_points")
+def constraint_diagnostics(p: DataFrame) -> DataFrame:
+    box = Grid((5.0, 0.0, 0.0), (4, 5, 5), (10.0, 10.0, 10.0))
+    return constraints.diagnostics(constraints.prepare(p), box.inside())
+
+
+@register("obs_orient", "SELECT count(*) AS n_rows, 0::BIGINT AS n_not_numeric, 0::BIGINT AS n_not_whole, count(oid) - count(DISTINCT oid) AS n_repeated FROM obs_orient")
+def validate_ids(o: DataFrame) -> DataFrame:
+    return constraints.validate_ids(o, "oid")
+
+
+@register("map_text", "SELECT count(*) FILTER (WHERE unit IS NULL) AS unit_null, count(*) FILTER (WHERE trim(unit) = '') AS unit_blank, count(*) FILTER (WHERE quality IS NULL) AS quality_null, 0::BIGINT AS quality_blank FROM map_text")
+def validate_required(m: DataFrame) -> DataFrame:
+    return constraints.validate_required(m, ["unit", "quality"])
+
+
+@register("obs_orient", "SELECT count(*) FILTER (WHERE NOT (dip BETWEEN 0 AND 60)) AS dip_outside, count(*) FILTER (WHERE NOT (strike BETWEEN 0 AND 180)) AS strike_outside FROM obs_orient")
+def validate_dip_range(o: DataFrame) -> DataFrame:
+    return constraints.validate_range(o, {"dip": (0.0, 60.0), "strike": (0.0, 180.0)})
+
+
+@register("map_text", "SELECT ID, contains(lower(coalesce(description, '')), 'the') AS f1, contains(lower(coalesce(description, '')), 'oner') AS f2, unit FROM map_text")
+def text_flags(m: DataFrame) -> DataFrame:
+    return m.select("ID", constraints.text_flag("description", "the").alias("f1"), constraints.text_flag("description", "ONER").alias("f2"), "unit")
+
+
+@register("obs_orient", "SELECT DISTINCT regexp_replace(unit, '[ -/?]', '_', 'g') AS name FROM obs_orient")
+def clean_unit_names(o: DataFrame) -> DataFrame:
+    return o.select(constraints.clean_name("unit").alias("name")).distinct()
+
+
+@register("obs_orient", "SELECT oid, unit FROM obs_orient WHERE NOT contains(lower(unit), '#1') AND NOT contains(lower(unit), '#23')")
+def ignore_codes(o: DataFrame) -> DataFrame:
+    return constraints.ignore(o.select("oid", "unit"), "unit", ["#1", "#23"])
+
+
+@register("strat_units", "SELECT unit, CASE WHEN contains(lower(unit), 'united') THEN 90.0 WHEN contains(lower(unit), 'in') THEN 0.0 END AS azimuth FROM strat_units")
+def compass_text(u: DataFrame) -> DataFrame:
+    text = F.when(F.lower("unit").contains("united"), F.lit("dips East")).when(F.lower("unit").contains("in"), F.lit("to the NORTH"))
+    return u.select("unit", constraints.compass_degrees(text).alias("azimuth"))
+
+
+# ---- stratigraphic column
+
+_EXTENT = "e AS (SELECT *, sum(thickness) OVER (PARTITION BY grp ORDER BY pos) AS vmax FROM strat_units)"
+
+
+@register("strat_units", f"WITH {_EXTENT} SELECT grp, unit, vmax - thickness AS vmin, vmax FROM e")
+def column_extents(u: DataFrame) -> DataFrame:
+    return column.extents(u).select("grp", "unit", "vmin", "vmax")
+
+
+@register("strat_units", "SELECT unit, CAST(coalesce(sum(CASE WHEN thickness > 30 THEN 1 ELSE 0 END) OVER (ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS grp FROM strat_units")
+def column_groups(u: DataFrame) -> DataFrame:
+    return column.groups(u.drop("grp").withColumn("unconformity", F.col("thickness") > 30)).select("unit", F.col("grp").cast("bigint").alias("grp"))
+
+
+@register("strat_units", f"WITH {_EXTENT} SELECT grp, count(*) AS n_units, max(vmax) AS top, sum(vmax - thickness) AS sum_base FROM e GROUP BY grp")
+def isovalues(u: DataFrame) -> DataFrame:
+    return column.extents(u).groupBy("grp").agg(F.count("*").alias("n_units"), F.max("vmax").alias("top"), F.sum("vmin").alias("sum_base"))
+
+
+@register("strat_units", "SELECT unit, grp, row_number() OVER (ORDER BY grp DESC, pos) - 1 AS unit_id FROM strat_units")
+def stratigraphic_ids(u: DataFrame) -> DataFrame:
+    return column.ids(u).select("unit", "grp", F.col("unit_id").cast("bigint").alias("unit_id"))
+
+
+_CLASSED = f"WITH {_EXTENT}, i AS (SELECT *, row_number() OVER (ORDER BY grp DESC, pos) - 1 AS unit_id FROM e), c AS (SELECT p.*, coalesce(i.unit_id, -1) AS unit_id, i.unit FROM obs_points p LEFT JOIN i ON i.grp = 0 AND p.X > i.vmax - i.thickness AND p.X < i.vmax)"
+
+
+@register("obs_points strat_units", f"{_CLASSED} SELECT pid, unit_id, unit FROM c")
+def classify_points(p: DataFrame, u: DataFrame) -> DataFrame:
+    number, name = column.classify(F.col("X"), column.small(u, 0))
+    return p.select("pid", number.cast("bigint").alias("unit_id"), name.alias("unit"))
+
+
+@register("obs_points strat_units", f"{_CLASSED} SELECT unit_id, count(*) AS n, round(avg(Z), 6)+0.0 AS mean_z, round(avg(val), 6)+0.0 AS mean_val FROM c GROUP BY unit_id")
+def block_model_counts(p: DataFrame, u: DataFrame) -> DataFrame:
+    number, _ = column.classify(F.col("X"), column.small(u, 0))
+    return p.groupBy(number.cast("bigint").alias("unit_id")).agg(F.count("*").alias("n"), tidy(F.avg("Z")).alias("mean_z"), tidy(F.avg("val")).alias("mean_val"))
+
+
+@register("obs_points strat_units", f"{_CLASSED} SELECT feature_name, round(avg(CASE WHEN unit_id >= 0 THEN 1.0 ELSE 0.0 END), 6)+0.0 AS covered FROM c GROUP BY feature_name")
+def coverage_ratio(p: DataFrame, u: DataFrame) -> DataFrame:
+    number, _ = column.classify(F.col("X"), column.small(u, 0))
+    return p.groupBy("feature_name").agg(tidy(F.avg((number >= 0).cast("double"))).alias("covered"))
+
+
+@register("obs_points strat_units", f"WITH {_EXTENT} SELECT e.grp, e.unit, count(*) AS n FROM obs_points p JOIN e ON p.X > e.vmax - e.thickness AND p.X < e.vmax GROUP BY e.grp, e.unit")
+def band_join_counts(p: DataFrame, u: DataFrame) -> DataFrame:
+    return bands.band_join(p.select("X"), column.extents(u).select("grp", "unit", "vmin", "vmax"), "X", "vmin", "vmax", 16.0).groupBy("grp", "unit").agg(F.count("*").alias("n"))
+
+
+@register("obs_points strat_units", f"{_CLASSED} SELECT unit, feature_name, count(*) AS n FROM c GROUP BY CUBE (unit, feature_name)")
+def block_model_cube(p: DataFrame, u: DataFrame) -> DataFrame:
+    _, name = column.classify(F.col("X"), column.small(u, 0))
+    return p.select(name.alias("unit"), "feature_name").cube("unit", "feature_name").agg(F.count("*").alias("n"))
+
+
+# ---- boxes and grids
+
+_GRID = Grid((0.0, 0.0, 0.0), (10, 11, 10), (5.0, 5.0, 5.0))
+
+
+@register("obs_points", "SELECT min(X)+0.0 AS x0, max(X)+0.0 AS x1, min(Y)+0.0 AS y0, max(Y)+0.0 AS y1, min(Z+0.0)+0.0 AS z0, max(Z)+0.0 AS z1 FROM obs_points")
+def bbox_fit(p: DataFrame) -> DataFrame:
+    return p.agg(*[(f(c) + 0.0).alias(f"{c.lower()}{i}") for c in ("X", "Y", "Z") for i, f in enumerate((F.min, F.max))])
+
+
+@register("obs_points", "WITH b AS (SELECT min(X) AS x0, max(X) AS x1, min(Y) AS y0, max(Y) AS y1 FROM obs_points) SELECT round(x0 - 0.2*greatest(x1-x0, y1-y0), 6)+0.0 AS x0, round(x1 + 0.2*greatest(x1-x0, y1-y0), 6)+0.0 AS x1, round(y0 - 0.2*greatest(x1-x0, y1-y0), 6)+0.0 AS y0, round(y1 + 0.2*greatest(x1-x0, y1-y0), 6)+0.0 AS y1 FROM b")
+def bbox_buffer(p: DataFrame) -> DataFrame:
+    b = p.agg(F.min("X").alias("a"), F.max("X").alias("b"), F.min("Y").alias("c"), F.max("Y").alias("d"))
+    pad = F.greatest(F.col("b") - F.col("a"), F.col("d") - F.col("c")) * 0.2
+    return b.select(*[tidy(x).alias(n) for x, n in ((F.col("a") - pad, "x0"), (F.col("b") + pad, "x1"), (F.col("c") - pad, "y0"), (F.col("d") + pad, "y1"))])
+
+
+@register("obs_points", "SELECT pid, (X BETWEEN 0 AND 50 AND Y BETWEEN 0 AND 55 AND Z BETWEEN 0 AND 50) AS inside FROM obs_points")
+def inside_box(p: DataFrame) -> DataFrame:
+    return p.select("pid", _GRID.inside().alias("inside"))
+
+
+@register("strat_units", "SELECT i AS node, (i % 11) * 5.0::DOUBLE AS X, ((i // 11) % 12) * 5.0::DOUBLE AS Y, (i // 132) * 5.0::DOUBLE AS Z FROM range(1452) t(i)")
+def regular_grid(u: DataFrame) -> DataFrame:
+    return _GRID.node_frame(u.sparkSession)
+
+
+@register("strat_units", "SELECT i AS node, (i % 10) * 5.0::DOUBLE + 2.5 AS X, ((i // 10) % 11) * 5.0::DOUBLE + 2.5 AS Y, (i // 110) * 5.0::DOUBLE + 2.5 AS Z FROM range(1100) t(i)")
+def cell_centres(u: DataFrame) -> DataFrame:
+    return _GRID.cell_frame(u.sparkSession)
+
+
+_CELL = "c AS (SELECT *, CAST(least(floor(X/5.0), 9) AS BIGINT) AS i, CAST(least(floor(Y/5.0), 10) AS BIGINT) AS j, CAST(least(floor(Z/5.0), 9) AS BIGINT) AS k FROM obs_points), l AS (SELECT *, X/5.0 - i AS u, Y/5.0 - j AS v, Z/5.0 - k AS t FROM c)"
+
+
+@register("obs_points", f"WITH {_CELL} SELECT pid, i, j, k, i + j*11 + k*132 AS node FROM l")
+def cell_index(p: DataFrame) -> DataFrame:
+    cell = _GRID.cell()
+    return p.select("pid", *[c.alias(n) for c, n in zip(cell, "ijk", strict=True)], _GRID.corner(cell, 0, 0, 0).alias("node"))
+
+
+@register("obs_points", f"WITH {_CELL} SELECT pid, round(u, 6)+0.0 AS u, round(v, 6)+0.0 AS v, round(t, 6)+0.0 AS t FROM l")
+def local_coords(p: DataFrame) -> DataFrame:
+    return p.select("pid", *[tidy(c).alias(n) for c, n in zip(_GRID.local(), "uvt", strict=True)])
+
+
+@register("obs_points", f"WITH {_CELL} SELECT pid, round((1-u)*(1-v)*(1-t), 6)+0.0 AS w000, round(u*(1-v)*(1-t), 6)+0.0 AS w100, round(u*v*t, 6)+0.0 AS w111 FROM l")
+def trilinear_weights(p: DataFrame) -> DataFrame:
+    w = _GRID.weights(_GRID.local())
+    return p.select("pid", *[tidy(w[d]).alias(f"w{d[0]}{d[1]}{d[2]}") for d in ((0, 0, 0), (1, 0, 0), (1, 1, 1))])
+
+
+def _field(node: Column) -> Column:
+    """A made-up coefficient for each node number."""
+    return ((node * 7) % 13).cast("double")
+
+
+_SQL_VALUE = "+".join(f"({'u' if dx else '(1-u)'}*{'v' if dy else '(1-v)'}*{'t' if dz else '(1-t)'}*(((i+{dx}+(j+{dy})*11+(k+{dz})*132)*7)%13))" for dz in (0, 1) for dy in (0, 1) for dx in (0, 1))
+
+
+@register("obs_points", f"WITH {_CELL} SELECT pid, round({_SQL_VALUE}, 6)+0.0 AS value FROM l")
+def trilinear_value(p: DataFrame) -> DataFrame:
+    return p.select("pid", tidy(_GRID.interpolate(_field)).alias("value"))
+
+
+_SQL_GX = "+".join(f"({'1' if dx else '-1'}*{'v' if dy else '(1-v)'}*{'t' if dz else '(1-t)'}*(((i+{dx}+(j+{dy})*11+(k+{dz})*132)*7)%13))" for dz in (0, 1) for dy in (0, 1) for dx in (0, 1))
+
+
+@register("obs_points", f"WITH {_CELL} SELECT pid, round(({_SQL_GX})/5.0, 6)+0.0 AS gx FROM l")
+def trilinear_gradient(p: DataFrame) -> DataFrame:
+    return p.select("pid", tidy(_GRID.gradient(_field)[0]).alias("gx"))
+
+
+@register("obs_points", f"WITH {_CELL} SELECT pid, round((1-u)*(1-v)*((i+j*11)%7) + u*(1-v)*((i+1+j*11)%7) + (1-u)*v*((i+(j+1)*11)%7) + u*v*((i+1+(j+1)*11)%7), 6)+0.0 AS value FROM l")
+def bilinear_value(p: DataFrame) -> DataFrame:
+    i, j, _ = _GRID.cell()
+    u, v, _ = _GRID.local()
+    at = lambda dx, dy: ((i + dx + (j + dy) * 11) % 7).cast("double")
+    return p.select("pid", tidy((1 - u) * (1 - v) * at(0, 0) + u * (1 - v) * at(1, 0) + (1 - u) * v * at(0, 1) + u * v * at(1, 1)).alias("value"))
+
+
+# ---- profiles, faults, regions
+
+_UNIT = "f AS (SELECT pid, (X - 25)/25.0 AS gx, (Y - 25)/30.0 AS gy, (Z - 25)/25.0 AS gz, val FROM obs_points)"
+_SMOOTH = "CASE WHEN abs({0}) <= 1 THEN {0}*{0}*{0}*{0} - 2*{0}*{0} + 1 ELSE 0 END"
+_COMPOSITE = "CASE WHEN gx > 0 THEN 2*least(gx,1)*least(gx,1)*least(gx,1) - 3*least(gx,1)*least(gx,1) + 1 WHEN gx < 0 THEN 2*greatest(gx,-1)*greatest(gx,-1)*greatest(gx,-1) + 3*greatest(gx,-1)*greatest(gx,-1) - 1 ELSE 0 END"
+
+
+def _frame(p: DataFrame) -> DataFrame:
+    return p.select("pid", ((F.col("X") - 25) / 25.0).alias("gx"), ((F.col("Y") - 25) / 30.0).alias("gy"), ((F.col("Z") - 25) / 25.0).alias("gz"), "val")
+
+
+@register("obs_points", f"WITH {_UNIT} SELECT pid, round({_SMOOTH.format('gz')}, 6)+0.0 AS y FROM f")
+def smooth_peak(p: DataFrame) -> DataFrame:
+    return _frame(p).select("pid", tidy(profiles.smooth_peak(F.col("gz"))).alias("y"))
+
+
+@register("obs_points", f"WITH {_UNIT} SELECT pid, round(2*least(greatest(gx,0),1)*least(greatest(gx,0),1)*least(greatest(gx,0),1) - 3*least(greatest(gx,0),1)*least(greatest(gx,0),1) + 1, 6)+0.0 AS y FROM f")
+def cubic_profile(p: DataFrame) -> DataFrame:
+    return _frame(p).select("pid", tidy(profiles.HANGING_WALL(F.col("gx"))).alias("y"))
+
+
+@register("obs_points", f"WITH {_UNIT} SELECT pid, round({_COMPOSITE}, 6)+0.0 AS y FROM f")
+def composite_profile(p: DataFrame) -> DataFrame:
+    return _frame(p).select("pid", tidy(profiles.composite(F.col("gx"))).alias("y"))
+
+
+@register("obs_points", f"WITH {_UNIT} SELECT pid, round(0.5*({_COMPOSITE})*({_SMOOTH.format('gy')})*({_SMOOTH.format('gz')}), 6)+0.0 AS d FROM f")
+def fault_displacement(p: DataFrame) -> DataFrame:
+    return _frame(p).select("pid", tidy(profiles.fault_displacement(F.col("gx"), F.col("gy"), F.col("gz"), True)).alias("d"))
+
+
+@register("obs_points", f"WITH {_UNIT} SELECT round(sum(0.5*({_COMPOSITE})*({_SMOOTH.format('gz')}) + 0.5*({_COMPOSITE.replace('gx', 'gy')})), 3)+0.0 AS total, count(*) AS n FROM f")
+def total_fault_displacement(p: DataFrame) -> DataFrame:
+    f = _frame(p)
+    one, two = profiles.fault_displacement(F.col("gx"), F.col("gy"), F.col("gz")), F.lit(0.5) * profiles.composite(F.col("gy"))
+    return f.agg(tidy(F.sum(F.coalesce(one, F.lit(0.0)) + F.coalesce(two, F.lit(0.0))), 3).alias("total"), F.count("*").alias("n"))
+
+
+@register("obs_points", f"WITH {_UNIT} SELECT pid, gx > 0 AND abs(gy) <= 1 AND abs(gz) <= 1 AS hanging FROM f")
+def hanging_wall_flag(p: DataFrame) -> DataFrame:
+    return _frame(p).select("pid", regions.sure((F.col("gx") > 0) & (F.abs("gy") <= 1) & (F.abs("gz") <= 1)).alias("hanging"))
+
+
+_UNKNOWN = "r AS (SELECT pid, CASE WHEN Z > 10 THEN X - 25 END AS value, 0.6*(X - 25) + 0.8*(Y - 25) AS dist, val FROM obs_points)"
+
+
+def _unknown(p: DataFrame) -> tuple[DataFrame, Column]:
+    q = p.withColumn("value", F.when(F.col("Z") > 10, F.col("X") - 25))
+    return q, regions.signed_distance(F.col("X"), F.col("Y"), (25.0, 25.0), (0.6, 0.8))
+
+
+@register("obs_points", f"WITH {_UNKNOWN} SELECT pid, CASE WHEN value IS NULL THEN round(dist, 9) > 0 ELSE value > 0 END AS mask FROM r")
+def positive_region(p: DataFrame) -> DataFrame:
+    q, d = _unknown(p)
+    return q.select("pid", regions.positive(F.col("value"), F.round(d, 9)).alias("mask"))
+
+
+@register("obs_points", f"WITH {_UNKNOWN} SELECT pid, CASE WHEN value IS NULL THEN round(dist, 9) < 0 ELSE value < 0 END AS mask FROM r")
+def negative_region(p: DataFrame) -> DataFrame:
+    q, d = _unknown(p)
+    return q.select("pid", regions.negative(F.col("value"), F.round(d, 9)).alias("mask"))
+
+
+@register("obs_points", "SELECT pid, CASE WHEN Z - 20 < 0 THEN val END AS val FROM obs_points")
+def unconformity_mask(p: DataFrame) -> DataFrame:
+    return p.select("pid", regions.erode(F.col("val"), F.col("Z") - 20).alias("val"))
+
+
+@register("obs_points", "SELECT pid, CASE WHEN Z - 20 >= 0 THEN val END AS val FROM obs_points")
+def onlap_mask(p: DataFrame) -> DataFrame:
+    return p.select("pid", regions.onlap(F.col("val"), F.col("Z") - 20).alias("val"))
+
+
+@register("obs_points", "SELECT feature_name, round(min(val + Z), 6)+0.0 AS low, round(max(val + Z), 6)+0.0 AS high FROM obs_points GROUP BY feature_name")
+def feature_range(p: DataFrame) -> DataFrame:
+    v = F.col("val") + F.col("Z")
+    return p.groupBy("feature_name").agg(tidy(F.min(v)).alias("low"), tidy(F.max(v)).alias("high"))
+
+
+@register("obs_points", "SELECT pid, round((Z - min(Z) OVER ()) / (max(Z) OVER () - min(Z) OVER ()), 6)+0.0 AS normalised FROM obs_points")
+def normalised_value(p: DataFrame) -> DataFrame:
+    return statistics.normalised(p, "Z").select("pid", tidy(F.col("normalised")).alias("normalised"))
+
+
+@register("obs_points", "SELECT feature_name, round(avg(abs(val - Z/6.25)/8.0), 6)+0.0 AS misfit FROM obs_points GROUP BY feature_name")
+def value_misfit(p: DataFrame) -> DataFrame:
+    return p.groupBy("feature_name").agg(tidy(F.avg(F.abs(F.col("val") - F.col("Z") / 6.25) / 8.0)).alias("misfit"))
+
+
+# ---- folds
+
+
+@register("obs_points", "SELECT pid, round(0.1 + 0.5*cos(X*2*pi()/20) - 0.25*sin(X*2*pi()/20), 6)+0.0 AS y FROM obs_points")
+def fourier_profile(p: DataFrame) -> DataFrame:
+    return p.select("pid", tidy(profiles.fourier(F.col("X"), 0.1, 0.5, -0.25, 20.0)).alias("y"))
+
+
+@register("obs_points", "SELECT pid, round(tan(0.6)*sin((X - 3)*2*pi()/17) + tan(0.1), 6)+0.0 AS y FROM obs_points")
+def trigo_profile(p: DataFrame) -> DataFrame:
+    return p.select("pid", tidy(profiles.trigonometric(F.col("X"), 3.0, 17.0, -0.5, 0.7)).alias("y"))
+
+
+@register("obs_points", "SELECT pid, round(degrees(atan(0.1 + 0.5*cos(X*2*pi()/20) - 0.25*sin(X*2*pi()/20))), 6)+0.0 AS angle FROM obs_points")
+def fold_limb_rotation(p: DataFrame) -> DataFrame:
+    return p.select("pid", tidy(profiles.limb_rotation(profiles.fourier(F.col("X"), 0.1, 0.5, -0.25, 20.0))).alias("angle"))
+
+
+@register("obs_orient", "WITH s AS (SELECT oid, strike AS x, dip AS v FROM obs_orient) SELECT CAST(floor(abs(a.x-b.x)/4.0 + 0.5) AS BIGINT) AS lag, count(*) AS n_pairs, round(avg((a.v-b.v)*(a.v-b.v)), 5)+0.0 AS gamma FROM s a, s b WHERE abs(a.x-b.x) < 18 AND abs(a.x-b.x) <> (floor(abs(a.x-b.x)/4.0 + 0.5) - 0.5)*4.0 GROUP BY 1")
+def semivariogram(o: DataFrame) -> DataFrame:
+    return statistics.semivariogram(o, "strike", "dip", 4.0, 5, "oid").select("lag", "n_pairs", tidy(F.col("gamma"), 5).alias("gamma"))
+
+
+@register("trace_vertices", "SELECT trace_id, seq, Y FROM (SELECT *, Y - lag(Y) OVER w AS b, lead(Y) OVER w - Y AS a FROM trace_vertices WINDOW w AS (PARTITION BY trace_id ORDER BY seq)) WHERE a IS NULL OR b IS NULL OR sign(a)*sign(b) < 0")
+def peaks_and_troughs(t: DataFrame) -> DataFrame:
+    return statistics.turning_points(t, "seq", "Y", "trace_id").select("trace_id", "seq", "Y")
+
+
+# ---- thickness
+
+_SAMPLES = "s AS (SELECT n.unit, p.Y*sin(radians(p.X)) AS thickness FROM obs_points p JOIN strat_units n ON n.pos = p.pid % 23)"
+
+
+def _samples(p: DataFrame, u: DataFrame) -> DataFrame:
+    return p.join(u.select("unit", F.col("pos").cast("bigint").alias("m")), F.col("pid") % 23 == F.col("m")).select("unit", statistics.true_thickness(F.col("Y"), F.col("X")).alias("thickness"))
+
+
+def _rounded(df: DataFrame) -> DataFrame:
+    return df.select("unit", *[tidy(F.col(c)).alias(c) for c in ("median", "mean", "std")], "n")
+
+
+@register("obs_points strat_units", f"WITH {_SAMPLES}, g AS (SELECT unit, median(thickness) AS m, avg(thickness) AS a, stddev_samp(thickness) AS d, count(*) AS n FROM s WHERE thickness > 0 GROUP BY unit) SELECT u.unit, round(coalesce(m, -1), 6)+0.0 AS median, round(coalesce(a, -1), 6)+0.0 AS mean, round(coalesce(d, -1), 6)+0.0 AS std, coalesce(n, 0) AS n FROM strat_units u LEFT JOIN g USING (unit)")
+def thickness_structural_point(p: DataFrame, u: DataFrame) -> DataFrame:
+    return _rounded(statistics.thickness_summary(_samples(p, u), u))
+
+
+@register("obs_points strat_units", f"WITH {_SAMPLES}, g AS (SELECT unit, median(thickness) AS m, avg(thickness) AS a, stddev_pop(thickness) AS d, count(*) AS n FROM s WHERE thickness > 0 GROUP BY unit), o AS (SELECT unit, lead(unit) OVER (ORDER BY pos) AS above FROM strat_units) SELECT o.above AS unit, round(coalesce(m, -1), 6)+0.0 AS median, round(coalesce(a, -1), 6)+0.0 AS mean, round(coalesce(d, -1), 6)+0.0 AS std, coalesce(n, 0) AS n FROM o LEFT JOIN g USING (unit) WHERE above IS NOT NULL")
+def thickness_interpolated(p: DataFrame, u: DataFrame) -> DataFrame:
+    return _rounded(statistics.to_unit_above(statistics.thickness_summary(_samples(p, u), u, population=True), u, "pos"))
+
+
+@register("obs_points strat_units", "WITH b AS (SELECT n.pos, n.unit, min(p.Y) AS base FROM obs_points p JOIN strat_units n ON n.pos = p.pid % 23 GROUP BY n.pos, n.unit) SELECT unit, round(coalesce(abs(lead(base) OVER (ORDER BY pos) - base), -1), 6)+0.0 AS thickness FROM b")
+def thickness_min_distance(p: DataFrame, u: DataFrame) -> DataFrame:
+    from pyspark.sql import Window as W
+
+    base = p.join(u.select("unit", F.col("pos").cast("bigint").alias("m")), F.col("pid") % 23 == F.col("m")).groupBy("m", "unit").agg(F.min("Y").alias("base"))
+    return base.select("unit", tidy(F.coalesce(F.abs(F.lead("base").over(W.orderBy("m")) - F.col("base")), F.lit(-1.0))).alias("thickness"))
+
+
+@register("obs_points strat_units", f"WITH {_SAMPLES}, g AS (SELECT unit, avg(thickness) AS a FROM s WHERE thickness > 0 GROUP BY unit) SELECT round(avg(CASE WHEN coalesce(a, -1) = -1 THEN 1.0 ELSE 0.0 END), 6) AS share, avg(CASE WHEN coalesce(a, -1) = -1 THEN 1.0 ELSE 0.0 END) >= 0.75 AS warn FROM strat_units u LEFT JOIN g USING (unit)")
+def unit_thickness_summary(p: DataFrame, u: DataFrame) -> DataFrame:
+    return statistics.few_known(statistics.thickness_summary(_samples(p, u), u)).select(F.round("share", 6).alias("share"), "warn")
+
+
+# ---- faults and traces
+
+
+@register("trace_vertices", "SELECT trace_id, count(*) AS n_points, round(avg(X) + 1e-9, 6)+0.0 AS X, round(avg(Y) + 1e-9, 6)+0.0 AS Y FROM trace_vertices GROUP BY trace_id HAVING count(*) >= 2")
+def fault_summary(t: DataFrame) -> DataFrame:
+    return statistics.fault_summary(t, "trace_id").select("trace_id", "n_points", tidy(F.col("X") + 1e-9).alias("X"), tidy(F.col("Y") + 1e-9).alias("Y"))
+
+
+@register("trace_vertices", "WITH d AS (SELECT trace_id, sqrt((max(X)-min(X))*(max(X)-min(X)) + (max(Y)-min(Y))*(max(Y)-min(Y))) AS l FROM trace_vertices GROUP BY trace_id) SELECT trace_id, round(l, 5)+0.0 AS length, round(l, 5)+0.0 AS horizontal_radius, round(l/2, 5)+0.0 AS vertical_radius, round(l/4, 5)+0.0 AS minor_radius FROM d")
+def fault_radii(t: DataFrame) -> DataFrame:
+    got = statistics.fault_radii(t, "trace_id")
+    return got.select("trace_id", *[tidy(F.col(c), 5).alias(c) for c in got.columns[1:]])
+
+
+@register("unit_contacts strat_units", "SELECT c.unit1, c.unit2, a.pos AS unit1_id, b.pos AS unit2_id FROM unit_contacts c JOIN strat_units a ON a.unit = c.unit1 JOIN strat_units b ON b.unit = c.unit2")
+def fault_relationship_ids(c: DataFrame, u: DataFrame) -> DataFrame:
+    return relations.with_ids(c.select("unit1", "unit2"), u, "unit1", "unit2", "unit", "pos").select("unit1", "unit2", "unit1_id", "unit2_id")
+
+
+@register("unit_contacts", "SELECT unit1, coalesce(max(CASE WHEN unit2 = 'CHINA' THEN length % 3 END), 0) AS CHINA, coalesce(max(CASE WHEN unit2 = 'FRANCE' THEN length % 3 END), 0) AS FRANCE, coalesce(max(CASE WHEN unit2 = 'VIETNAM' THEN length % 3 END), 0) AS VIETNAM FROM unit_contacts GROUP BY unit1")
+def fault_matrix(c: DataFrame) -> DataFrame:
+    return relations.matrix(c.withColumn("code", F.col("length") % 3), "unit1", "unit2", "code", ["CHINA", "FRANCE", "VIETNAM"])
+
+
+@register("strat_units", "WITH RECURSIVE e AS (SELECT pos AS a, pos + 5 AS b FROM strat_units WHERE pos + 5 < 25), r AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a) SELECT CAST(a AS BIGINT) AS a, CAST(b AS BIGINT) AS b FROM r")
+def fault_closure(u: DataFrame) -> DataFrame:
+    edges = u.select(F.col("pos").cast("bigint").alias("x"), (F.col("pos").cast("bigint") + 5).alias("y")).where("y < 25")
+    return relations.closure(edges, "x", "y")
+
+
+@register("obs_orient", "SELECT oid, round(CASE WHEN least((((strike - 90) % 360) + 360) % 360, 360 - (((strike - 90) % 360) + 360) % 360) > 90 THEN (strike + 180) % 360 ELSE strike END, 6)+0.0 AS dip_dir FROM obs_orient")
+def downthrow_direction(o: DataFrame) -> DataFrame:
+    return o.select("oid", tidy(relations.toward_hanging_wall(F.col("strike"), F.lit(90.0))).alias("dip_dir"))
+
+
+_SEG = "g AS (SELECT *, lead(X) OVER w AS X2, lead(Y) OVER w AS Y2 FROM trace_vertices WINDOW w AS (PARTITION BY trace_id ORDER BY seq)), h AS (SELECT *, sqrt((X2-X)*(X2-X) + (Y2-Y)*(Y2-Y)) AS length FROM g WHERE X2 IS NOT NULL)"
+
+
+@register("trace_vertices", f"WITH {_SEG} SELECT trace_id, seq, round((X2-X)/nullif(length, 0), 6)+0.0 AS tx, round((Y2-Y)/nullif(length, 0), 6)+0.0 AS ty FROM h")
+def segment_tangents(t: DataFrame) -> DataFrame:
+    return traces.tangents(t).select("trace_id", "seq", tidy(F.col("tx")).alias("tx"), tidy(F.col("ty")).alias("ty"))
+
+
+@register("trace_vertices", f"WITH {_SEG} SELECT trace_id, round(sum(length), 4)+0.0 AS length, count(*) AS n_segments FROM h GROUP BY trace_id")
+def trace_length(t: DataFrame) -> DataFrame:
+    return traces.lengths(t).select("trace_id", tidy(F.col("length"), 4).alias("length"), "n_segments")
+
+
+@register("trace_vertices", f"WITH {_SEG}, m AS (SELECT *, sum(length) OVER (PARTITION BY trace_id ORDER BY seq) AS stop, sum(length) OVER (PARTITION BY trace_id) AS total FROM h), k AS (SELECT *, unnest(generate_series(CAST(ceil((stop-length)/100.0) AS BIGINT), CAST(least(ceil(stop/100.0) - 1, floor(total/100.0) - 1) AS BIGINT))) AS k FROM m WHERE length > 0) SELECT trace_id, k, round(X + (k*100.0 - (stop-length))/length*(X2-X), 3)+0.0 AS X, round(Y + (k*100.0 - (stop-length))/length*(Y2-Y), 3)+0.0 AS Y FROM k")
+def sample_spacing(t: DataFrame) -> DataFrame:
+    return traces.sample(t, 100.0).select("trace_id", "k", tidy(F.col("X"), 3).alias("X"), tidy(F.col("Y"), 3).alias("Y"))
+
+
+@register("trace_vertices", "SELECT trace_id, seq, X FROM (SELECT *, row_number() OVER (PARTITION BY trace_id ORDER BY seq) AS n FROM trace_vertices) WHERE (n - 1) % 4 = 0")
+def sample_decimate(t: DataFrame) -> DataFrame:
+    return traces.decimate(t, 4, "trace_id", "seq").select("trace_id", "seq", "X")
+
+
+@register("trace_vertices", "SELECT trace_id, seq, before, unit, after FROM (SELECT trace_id, seq, CAST(X AS BIGINT) % 5 AS unit, lag(CAST(X AS BIGINT) % 5) OVER w AS before, lead(CAST(X AS BIGINT) % 5) OVER w AS after FROM trace_vertices WINDOW w AS (PARTITION BY trace_id ORDER BY seq)) WHERE before <> unit AND after <> unit AND before <> after")
+def section_neighbours(t: DataFrame) -> DataFrame:
+    return traces.between_neighbours(t.withColumn("unit", F.col("X").cast("bigint") % 5), "trace_id", "seq", "unit").select("trace_id", "seq", "before", "unit", "after")
+
+
+@register("trace_vertices", f"WITH {_SEG} SELECT trace_id, seq, round((degrees(atan2(X2-X, Y2-Y)) + 360) % 360, 5)+0.0 AS azimuth FROM h")
+def segment_strike(t: DataFrame) -> DataFrame:
+    return traces.strike(t).select("trace_id", "seq", tidy(F.col("azimuth"), 5).alias("azimuth"))
+
+
+# ---- units and contacts
+
+
+@register("unit_contacts strat_units", "SELECT c.unit1, c.unit2, c.length, least(a.pos, b.pos) AS id, CASE WHEN a.pos < b.pos THEN c.unit1 ELSE c.unit2 END AS basal_unit, CASE WHEN abs(a.pos - b.pos) > 1 THEN 'ABNORMAL' ELSE 'BASAL' END AS kind FROM unit_contacts c JOIN strat_units a ON a.unit = c.unit1 JOIN strat_units b ON b.unit = c.unit2")
+def unit_contacts_basal(c: DataFrame, u: DataFrame) -> DataFrame:
+    return relations.basal(c, u.select("unit", F.col("pos").alias("rank")))
+
+
+@register("strat_units", "SELECT unit, CAST(row_number() OVER (ORDER BY grp, (pos + thickness)/2.0, unit) AS BIGINT) AS rank FROM strat_units")
+def sort_by_age(u: DataFrame) -> DataFrame:
+    return relations.by_age(u, "pos", "thickness", "grp", "unit").select("unit", F.col("rank").cast("bigint").alias("rank"))
+
+
+@register("unit_contacts", "SELECT unit, count(*) AS degree, CAST(sum(length) AS BIGINT) AS length FROM (SELECT unit1 AS unit, length FROM unit_contacts UNION ALL SELECT unit2, length FROM unit_contacts) GROUP BY unit")
+def adjacency_degree(c: DataFrame) -> DataFrame:
+    return relations.undirected(c).groupBy("unit").agg(F.count("*").alias("degree"), F.sum("length").alias("length"))
+
+
+@register("unit_contacts strat_units", "WITH r AS (SELECT unit, 'by_number' AS sorter, pos AS k FROM strat_units UNION ALL SELECT unit, 'by_thickness', row_number() OVER (ORDER BY thickness, pos) FROM strat_units) SELECT a.sorter, CAST(sum(c.length) AS BIGINT) AS length FROM unit_contacts c JOIN r a ON a.unit = c.unit1 JOIN r b ON b.unit = c.unit2 AND a.sorter = b.sorter WHERE abs(a.k - b.k) = 1 GROUP BY a.sorter")
+def best_order_length(c: DataFrame, u: DataFrame) -> DataFrame:
+    """Length of the basal contacts that each order would give."""
+    from pyspark.sql import Window as W
+
+    ranks = u.select("unit", F.lit("by_number").alias("sorter"), F.col("pos").cast("bigint").alias("rank")).unionByName(u.select("unit", F.lit("by_thickness").alias("sorter"), F.row_number().over(W.orderBy("thickness", "pos")).cast("bigint").alias("rank")))
+    a = ranks.select(F.col("unit").alias("unit1"), "sorter", F.col("rank").alias("ra"))
+    b = ranks.select(F.col("unit").alias("unit2"), "sorter", F.col("rank").alias("rb"))
+    return c.join(a, "unit1").join(b, ["unit2", "sorter"]).where(F.abs(F.col("ra") - F.col("rb")) == 1).groupBy("sorter").agg(F.sum("length").alias("length"))
+
+
+# ---- nearest things, rasters
+
+_CENTRES = "c AS (SELECT trace_id AS cid, round(avg(X) + 1e-9, 6) AS X, round(avg(Y) + 1e-9, 6) AS Y FROM trace_vertices GROUP BY trace_id), s AS (SELECT trace_id, X, Y FROM trace_vertices WHERE seq = 1)"
+_NEAREST = f"{_CENTRES}, d AS (SELECT s.trace_id, c.cid, sqrt((s.X-c.X)*(s.X-c.X) + (s.Y-c.Y)*(s.Y-c.Y)) AS d FROM s, c), n AS (SELECT trace_id, cid, d FROM d QUALIFY row_number() OVER (PARTITION BY trace_id ORDER BY d, cid) = 1)"
+
+
+def _nearest(t: DataFrame) -> DataFrame:
+    centres = t.groupBy(F.col("trace_id").alias("cid")).agg(F.round(F.avg("X") + 1e-9, 6).alias("X"), F.round(F.avg("Y") + 1e-9, 6).alias("Y"))
+    return relations.nearest(t.where("seq = 1"), centres, "trace_id", "cid", cell=25.0)
+
+
+@register("trace_vertices", f"WITH {_NEAREST} SELECT trace_id, cid, round(d + 1e-9, 5)+0.0 AS distance FROM n")
+def nearest_orientation(t: DataFrame) -> DataFrame:
+    return _nearest(t).select("trace_id", "cid", tidy(F.col("distance") + 1e-9, 5).alias("distance"))
+
+
+@register("trace_vertices", f"WITH {_NEAREST} SELECT trace_id, round(1 + 2*exp(-d*d/(2*50*50)), 6)+0.0 AS w FROM n")
+def regularisation_weight(t: DataFrame) -> DataFrame:
+    d = F.col("distance")
+    return _nearest(t).select("trace_id", tidy(1 + 2 * F.exp(-d * d / (2.0 * 50 * 50))).alias("w"))
+
+
+@register("trace_vertices", "WITH s AS (SELECT trace_id, X, Y, CASE WHEN Y < 150 THEN Y END AS v FROM trace_vertices WHERE seq = 1), d AS (SELECT s.trace_id, t.v, row_number() OVER (PARTITION BY s.trace_id ORDER BY sqrt((s.X-t.X)*(s.X-t.X) + (s.Y-t.Y)*(s.Y-t.Y)), t.trace_id) AS n FROM s, s t WHERE s.v IS NULL AND t.v IS NOT NULL) SELECT trace_id, v FROM s WHERE v IS NOT NULL UNION ALL SELECT trace_id, v FROM d WHERE n = 1")
+def fill_nearest(t: DataFrame) -> DataFrame:
+    s = t.where("seq = 1").select("trace_id", "X", "Y", F.when(F.col("Y") < 150, F.col("Y")).alias("v"))
+    known = s.where("v is not null")
+    found = relations.nearest(s.where("v is null"), known.withColumnRenamed("trace_id", "kid"), "trace_id", "kid", cell=25.0, keep=("v",))
+    return known.select("trace_id", "v").unionByName(found.select("trace_id", "v"))
+
+
+@register("obs_points", "SELECT pid, greatest(0, least(9, CAST(trunc((X - 3)/5.0) AS INTEGER))) AS px, greatest(0, least(9, CAST(trunc((Y - 3)/5.0) AS INTEGER))) AS py FROM obs_points")
+def raster_lookup(p: DataFrame) -> DataFrame:
+    px, py = relations.raster_cell(F.col("X"), F.col("Y"), (3.0, 3.0), (5.0, 5.0), (10, 10))
+    return p.select("pid", px.alias("px"), py.alias("py"))
+
+
+@register("strat_units", "SELECT u.unit, coalesce(c.colour, '#808080') AS colour FROM strat_units u LEFT JOIN (SELECT 'CHINA' AS unit, '#ff0000' AS colour UNION ALL SELECT 'FRANCE', '#0000ff') c ON c.unit = upper(u.unit)")
+def colour_lookup(u: DataFrame) -> DataFrame:
+    known = u.sparkSession.createDataFrame([("CHINA", "#ff0000"), ("FRANCE", "#0000ff")], "name string, colour string")
+    return u.join(F.broadcast(known.dropDuplicates(["name"])), F.upper("unit") == F.col("name"), "left").select("unit", F.coalesce("colour", F.lit("#808080")).alias("colour"))
+
+
+@register("trace_vertices", "WITH RECURSIVE s AS (SELECT trace_id AS k, X, Y FROM trace_vertices WHERE seq = 1), e AS (SELECT a.k AS a, b.k AS b FROM s a, s b WHERE sqrt((a.X-b.X)*(a.X-b.X) + (a.Y-b.Y)*(a.Y-b.Y)) <= 4), r AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a) SELECT a AS trace_id, min(b) AS cluster FROM r GROUP BY a")
+def cluster_collocated(t: DataFrame) -> DataFrame:
+    return relations.clusters(t.where("seq = 1"), "trace_id", "X", "Y", 4.0)
+
+
+# ---- logs
+
+
+@register("log_records", "SELECT stage, count(*) AS n, round(avg(duration_s), 6)+0.0 AS mean_s, round(min(duration_s), 6)+0.0 AS min_s, round(max(duration_s), 6)+0.0 AS max_s FROM log_records GROUP BY stage")
+def log_stage_stats(r: DataFrame) -> DataFrame:
+    return logs.stage_statistics(r).select("stage", "n", *[tidy(F.col(c)).alias(c) for c in ("mean_s", "min_s", "max_s")])
+
+
+@register("log_records", "SELECT epoch_ms(start_ms) AS start, stage, n, total_s FROM (SELECT (epoch_ms(ts) // 3600000) * 3600000 AS start_ms, stage, count(*) AS n, round(sum(duration_s), 5)+0.0 AS total_s FROM log_records GROUP BY 1, 2)")
+def log_tumbling(r: DataFrame) -> DataFrame:
+    got = logs.windows(r, "1 hour")
+    return got.select(F.col("start").cast("timestamp_ntz").alias("start"), "stage", "n", tidy(F.col("total_s"), 5).alias("total_s"))
+
+
+@register("log_records", "SELECT epoch_ms(start_ms) AS start, stage, n, total_s FROM (SELECT (epoch_ms(ts) // 1800000 - k) * 1800000 AS start_ms, stage, count(*) AS n, round(sum(duration_s), 5)+0.0 AS total_s FROM log_records, range(2) t(k) GROUP BY 1, 2)")
+def log_sliding(r: DataFrame) -> DataFrame:
+    got = logs.windows(r, "1 hour", "30 minutes")
+    return got.select(F.col("start").cast("timestamp_ntz").alias("start"), "stage", "n", tidy(F.col("total_s"), 5).alias("total_s"))
+
+
+@register("log_records", "WITH b AS (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY run_id ORDER BY ts) < INTERVAL 6 HOUR THEN 0 ELSE 1 END AS f FROM log_records), g AS (SELECT *, sum(f) OVER (PARTITION BY run_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM b) SELECT run_id, min(ts) AS start, count(*) AS n, round(sum(duration_s), 5)+0.0 AS total_s FROM g GROUP BY run_id, s")
+def log_session(r: DataFrame) -> DataFrame:
+    got = logs.sessions(r, "6 hours")
+    return got.select("run_id", F.col("start").cast("timestamp_ntz").alias("start"), "n", tidy(F.col("total_s"), 5).alias("total_s"))
+
+
+@register("log_records", "SELECT id, run_id, duration_s FROM log_records WHERE stage = 'click' ORDER BY id LIMIT 50")
+def log_filter_limit(r: DataFrame) -> DataFrame:
+    return logs.query(r, stage="click", limit=50).select("id", "run_id", "duration_s")
+
+
+# ---- intrusions
+
+
+@register("obs_points", "SELECT pid, round(CASE WHEN X > 5 AND X < 45 THEN 15*sqrt(greatest(1 - ((X-25)/20.0)*((X-25)/20.0), 0)) ELSE 0 END, 6)+0.0 AS upper, round(CASE WHEN X > 5 AND X < 45 THEN -15*sqrt(greatest(1 - ((X-25)/20.0)*((X-25)/20.0), 0)) ELSE 0 END, 6)+0.0 AS lower FROM obs_points")
+def ellipse_extent(p: DataFrame) -> DataFrame:
+    up, down = profiles.ellipse(F.col("X"), F.lit(5.0), F.lit(45.0), F.lit(10.0), F.lit(40.0))
+    return p.select("pid", tidy(up).alias("upper"), tidy(down).alias("lower"))
+
+
+_CONE = "k AS (SELECT pid, X AS p, Y AS s, 900.0 AS a2, 900.0 AS b2, 25 - 37.5 AS dp, 20 - 37.5 AS ds, 60.0 AS h FROM obs_points), q AS (SELECT *, (p-25)*h AS q, (s-20)*h AS r, dp*dp*b2 + ds*ds*a2 - a2*b2 AS f FROM k), g AS (SELECT *, 2*(q*dp*b2 + r*ds*a2) AS g FROM q), z AS (SELECT *, -2*f*h - g AS m, f*h*h + g*h + q*q*b2 + r*r*a2 AS n FROM g)"
+
+
+@register("obs_points", f"WITH {_CONE} SELECT pid, round(-(m + sqrt(greatest(m*m - 4*f*n, 0)))/(2*f), 4)+0.0 AS g1, round(-(m - sqrt(greatest(m*m - 4*f*n, 0)))/(2*f), 4)+0.0 AS g2 FROM z")
+def oblique_cone_growth(p: DataFrame) -> DataFrame:
+    a, b = profiles.oblique_cone(F.col("X"), F.col("Y"), (5.0, 45.0), (5.0, 45.0), (25.0, 20.0, 60.0))
+    return p.select("pid", tidy(a, 4).alias("g1"), tidy(b, 4).alias("g2"))
+
+
+@register("obs_points", "SELECT pid, round(least(Z - 10, 40 - Z, CASE WHEN X > 5 AND X < 45 THEN 15*sqrt(greatest(1 - ((X-25)/20.0)*((X-25)/20.0), 0)) ELSE 0 END - abs(Y-25)), 6)+0.0 AS d FROM obs_points")
+def intrusion_distance(p: DataFrame) -> DataFrame:
+    """Signed distance to roof, floor and walls along the frame's axes; positive inside."""
+    up, _ = profiles.ellipse(F.col("X"), F.lit(5.0), F.lit(45.0), F.lit(10.0), F.lit(40.0))
+    return p.select("pid", tidy(F.least(F.col("Z") - 10, 40 - F.col("Z"), up - F.abs(F.col("Y") - 25))).alias("d"))
+
+
+@register("obs_points", "SELECT pid, round(1.08*pow(X, 0.81), 6)+0.0 AS thickness FROM obs_points")
+def scaled_thickness(p: DataFrame) -> DataFrame:
+    return p.select("pid", tidy(profiles.scaled_thickness(F.col("X"), "plutons")).alias("thickness"))

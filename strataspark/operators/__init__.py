@@ -1 +1 @@
-
+"""Operators over DataFrames of observations, units, faults and traces."""

@@ -1 +1 @@
-
+"""Structured Streaming forms: log summaries and scoring."""
