@@ -37,7 +37,7 @@ from .common import fold, staged
 U64 = np.uint64
 FOLDS = 10
 #: Tokens that a task counts at a time, and bytes of text for each bucket.
-RUN, BUCKET_BYTES = 3_000_000, 8 << 20
+RUN, BUCKET_BYTES = 2_000_000, 8 << 20
 #: Base of the levels, bits for each inserted level, and probes.
 Q, BITS, PROBES, LEVELS = 1.5, 12, 3, 64
 BEGIN, PAIR = U64(0x243F6A8885A308D3), U64(0x13198A2E03707344)
@@ -120,20 +120,22 @@ def _counted(texts: DataFrame, buckets: int) -> DataFrame:
         width = _width(kind)
         return pa.RecordBatch.from_arrays([pa.array([kind] * len(pieces), pa.int32()), pa.array([int(at[a]) for a, _ in pieces], pa.int32()), pa.array([_pack(keys[a:b], width) for a, b in pieces], pa.binary()), pa.array([counts[a:b].tobytes() for a, b in pieces], pa.binary())], ["kind", "bucket", "keys", "counts"])
 
+    def flush(held: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        for kind in (1, 2):
+            yield rows(kind, np.concatenate([h[kind - 1] for h in held]))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray]] = []
         size = 0
-        for batch in tv.chunks(batches, "text", 8 << 20):
+        for batch in tv.chunks(batches, "text", 2 << 20):
             token, before, _ = tokens(batch.column("text"))
             held.append((token, pair(before, token)))
             size += len(token)
             if size >= RUN:
-                yield rows(1, np.concatenate([t for t, _ in held]))
-                yield rows(2, np.concatenate([p for _, p in held]))
+                yield from flush(held)
                 held, size = [], 0
         if held:
-            yield rows(1, np.concatenate([t for t, _ in held]))
-            yield rows(2, np.concatenate([p for _, p in held]))
+            yield from flush(held)
 
     return texts.select("text").mapInArrow(run, schema)
 
@@ -271,7 +273,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_m
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lm, known, freq = shared.value
-        for batch in tv.chunks(batches, "text", 8 << 20):
+        for batch in tv.chunks(batches, "text", 2 << 20):
             token, before, ends = tokens(batch.column("text"))
             text = np.repeat(np.arange(batch.num_rows), np.diff(ends))
             unique, back = np.unique(token, return_inverse=True)
@@ -297,6 +299,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_m
     kind = dict(docs.dtypes)[id_col]
     scored = source.mapInArrow(run, f"id {kind}, held_out boolean, n_tokens bigint, n_known bigint, base double, score double, rare array<bigint>").withColumn("row", F.monotonically_increasing_id())
     scored = staged(scored, "ngram-scored")
+    shared.destroy()  # frees the filter on the executors
     rest = scored.select("row", F.explode("rare").alias("word")).groupBy("row", "word").agg(F.count("*").alias("tf"))
     found = rest.join(counts.where(level_of("count") < cut), "word", "left")
     part = F.col("tf") * (F.log10(F.coalesce("count", F.lit(0)) + F.lit(0.1)) - F.log10(F.lit(total)))
