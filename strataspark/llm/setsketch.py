@@ -88,10 +88,13 @@ def _could_link(ru: np.ndarray, rv: np.ndarray, nu: np.ndarray, nv: np.ndarray,
     fits = 100 * np.minimum(nu, nv) >= percent * np.maximum(nu, nv)
     keep = np.zeros(len(nu), bool)
     if fits.any():
-        ru, rv, nu, nv = ru[fits], rv[fits], nu[fits].astype(float), nv[fits].astype(float)
+        # the share of equal registers is nearly the similarity; what is far off needs no likelihood
+        near = np.flatnonzero(fits)
+        near = near[(ru[near] == rv[near]).sum(1) >= m * t - (SIGMAS + 1.0) * np.sqrt(m * t * (1.0 - t))]
+        ru, rv = ru[near], rv[near]
         more, less = (ru > rv).sum(1), (ru < rv).sum(1)
-        got = jaccard_estimate(more, less, m - more - less, nu, nv)
-        keep[fits] = got >= t - SIGMAS * np.sqrt(t * (1.0 - t) / m)
+        got = jaccard_estimate(more, less, m - more - less, nu[near].astype(float), nv[near].astype(float))
+        keep[near] = got >= t - SIGMAS * np.sqrt(t * (1.0 - t) / m)
     return keep
 
 
@@ -128,9 +131,10 @@ def _band_keys(nodes: DataFrame, m: int, rows: int) -> DataFrame:
             for r in range(rows):
                 key = tv.mix(key * tv.BASE + regs[:, :, r])
             at = np.repeat(np.arange(batch.num_rows), bands)
-            yield pa.RecordBatch.from_arrays([pa.array(key.reshape(-1).view(np.int64)), batch.column("node").take(pa.array(at))], ["key", "node"])
+            band = np.tile(np.arange(bands, dtype=np.int32), batch.num_rows)
+            yield pa.RecordBatch.from_arrays([pa.array(key.reshape(-1).view(np.int64)), pa.array(band), batch.column("node").take(pa.array(at))], ["key", "band", "node"])
 
-    return nodes.select("node", "registers").mapInArrow(run, "key bigint, node binary")
+    return nodes.select("node", "registers").mapInArrow(run, "key bigint, band int, node binary")
 
 
 def _estimated(pairs: DataFrame, nodes: DataFrame, m: int, percent: int) -> DataFrame:
@@ -148,14 +152,21 @@ def _estimated(pairs: DataFrame, nodes: DataFrame, m: int, percent: int) -> Data
     return sized.select("a", "b", "na", "nb", "ra", "rb").mapInArrow(run, "a binary, b binary")
 
 
-def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """The pairs whose full sets have 100 * intersection >= percent * union."""
+def _found(wanted: DataFrame, nodes: DataFrame, docs: DataFrame, k: int) -> DataFrame:
+    """node, text and the sorted hashes of its set, for the distinct nodes of `wanted`."""
 
-    def located(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in tv.chunks(batches, "text", 4 << 20):  # rows that share an id may have other texts
-            sets, _, _ = _sets(batch.column("text"), k)
-            keep = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() == n for s, n in zip(sets, batch.column("node").to_pylist(), strict=True)]
-            yield batch.filter(pa.array(keep, pa.bool_()))
+            blobs = [s.tobytes() for s in _sets(batch.column("text"), k)[0]]
+            keep = [hashlib.blake2b(b, digest_size=16).digest() == n for b, n in zip(blobs, batch.column("node").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("text"), pa.array(blobs, pa.binary())], ["node", "text", "hashes"]).filter(pa.array(keep, pa.bool_()))
+
+    place = wanted.join(nodes.select("node", F.col("id").alias("at")), "node")
+    return docs.join(place, F.col("id").eqNullSafe(F.col("at"))).select("node", "text").mapInArrow(run, "node binary, text string, hashes binary")
+
+
+def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """The pairs whose full sets have 100 * intersection >= percent * union."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in tv.chunks(batches, "ta", 4 << 20):
@@ -164,9 +175,8 @@ def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, k: int, perce
             total = np.array([len(x) + len(y) for x, y in zip(left, right, strict=True)], np.int64) - common
             yield batch.select(["a", "b"]).filter(pa.array(100 * common >= percent * total))
 
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", F.col("id").alias("at")), "node")
-    texts = docs.join(wanted, F.col("id").eqNullSafe(F.col("at"))).select("node", "text").mapInArrow(located, "node binary, text string")
-    texts = staged(texts, "near-texts")
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    texts = staged(_found(wanted, nodes, docs, k).select("node", "text"), "near-texts")
     for side in "ab":
         pairs = pairs.join(texts.select(F.col("node").alias(side), F.col("text").alias(f"t{side}")), side)
     return pairs.select("a", "b", "ta", "tb").mapInArrow(run, "a binary, b binary").distinct()
@@ -199,10 +209,12 @@ def components(edges: DataFrame) -> DataFrame | None:
 
 def _labelled(members: DataFrame, links: list[DataFrame]) -> DataFrame:
     """The members of buckets that still hold several components, each with its label."""
-    found = links[0]
-    for more in links[1:]:
-        found = found.unionByName(more)
-    mapping = components(found)
+    mapping = None
+    if links:
+        found = links[0]
+        for more in links[1:]:
+            found = found.unionByName(more)
+        mapping = components(found)
     if mapping is None:
         named = members.withColumn("label", F.col("node"))
     else:
@@ -212,41 +224,69 @@ def _labelled(members: DataFrame, links: list[DataFrame]) -> DataFrame:
     return named.join(split, "key")
 
 
-def _blocks(open_members: DataFrame, nodes: DataFrame, m: int, percent: int) -> DataFrame:
-    """Pairs of different components within a bucket that could be links; blocks of members meet, never a whole bucket."""
+def _joined_in_blocks(open_members: DataFrame, nodes: DataFrame, docs: DataFrame, k: int, m: int, rows: int, percent: int) -> DataFrame:
+    """Links (a, b) between different components within buckets, checked on the full sets.
+
+    Blocks of members meet, never a whole bucket. A pair is looked at in the first band that it
+    shares only. Within a block, pairs that earlier links have joined are passed over, so a block
+    gives fewer links than it has members, and nothing is sent for pairs that aren't links.
+    """
 
-    def pairs_of(group: list[np.ndarray], same: bool) -> Iterator[tuple[bytes, bytes]]:
-        node, label, n, regs, side = group
+    def links_of(band: int, same_side: bool, node: list[bytes], label: list[bytes], n: np.ndarray, regs: np.ndarray, side: np.ndarray, sets: list[bytes]) -> list[tuple[bytes, bytes]]:
         i, j = np.triu_indices(len(n), 1)
-        keep = label[i] != label[j]
-        if not same:
+        names = {x: t for t, x in enumerate(dict.fromkeys(label))}
+        codes = np.array([names[x] for x in label])
+        keep = codes[i] != codes[j]
+        if not same_side:
             keep &= side[i] != side[j]
         i, j = i[keep], j[keep]
+        root = list(range(len(names)))
+
+        def top(x: int) -> int:
+            while root[x] != x:
+                root[x] = root[root[x]]
+                x = root[x]
+            return x
+
+        out = []
+        held: dict[int, np.ndarray] = {}
         for at in range(0, len(i), 16384):
             x, y = i[at : at + 16384], j[at : at + 16384]
             ok = _could_link(regs[x], regs[y], n[x], n[y], percent)
-            yield from zip(node[x[ok]], node[y[ok]], strict=True)
+            x, y = x[ok], y[ok]
+            if band:
+                agree = (regs[x, : band * rows] == regs[y, : band * rows]).reshape(-1, band, rows).all(axis=2).any(axis=1)
+                x, y = x[~agree], y[~agree]
+            for p, q in zip(x.tolist(), y.tolist(), strict=True):
+                u, v = top(codes[p]), top(codes[q])
+                if u == v:
+                    continue
+                for t in (p, q):
+                    if t not in held:
+                        held[t] = np.frombuffer(sets[t], np.uint64)
+                common = len(np.intersect1d(held[p], held[q], assume_unique=True))
+                if 100 * common >= percent * (len(held[p]) + len(held[q]) - common):
+                    root[max(u, v)] = min(u, v)
+                    out.append((min(node[p], node[q]), max(node[p], node[q])))
+        return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
 
         def flush(whole: bool) -> tuple[list[tuple[bytes, bytes]], list[pa.RecordBatch]]:
+            """The links of the groups that have come in whole, and the rows of the last one."""
             table = pa.Table.from_batches(held).combine_chunks()
             key = np.stack([table["key"].to_numpy(), table["bi"].to_numpy(), table["bj"].to_numpy()], 1)
-            cut = np.flatnonzero(np.any(key[1:] != key[:-1], axis=1)) + 1
-            bounds = np.concatenate([[0], cut, [len(key)]])
+            bounds = np.concatenate([[0], np.flatnonzero(np.any(key[1:] != key[:-1], axis=1)) + 1, [len(key)]])
             todo = len(bounds) - 1 if whole else len(bounds) - 2
-            if todo <= 0:
-                return [], table.to_batches()
-            node, label = np.array(table["node"].to_pylist(), object), np.array(table["label"].to_pylist(), object)
-            n, side, regs = table["n_shingles"].to_numpy(), table["side"].to_numpy(), _matrix(table["registers"], m)
             out: list[tuple[bytes, bytes]] = []
             for a, b in zip(bounds[:todo], bounds[1 : todo + 1], strict=True):
-                out += pairs_of([node[a:b], label[a:b], n[a:b], regs[a:b], side[a:b]], key[a, 1] == key[a, 2])
-            return out, table.slice(bounds[todo]).to_batches()
+                part = table.slice(a, b - a)
+                out += links_of(part["band"][0].as_py(), key[a, 1] == key[a, 2], part["node"].to_pylist(), part["label"].to_pylist(), part["n_shingles"].to_numpy(), _matrix(part["registers"], m), part["side"].to_numpy(), part["hashes"].to_pylist())
+            return out, table.slice(bounds[max(0, todo)]).to_batches()
 
         def emit(out: list[tuple[bytes, bytes]]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([min(p) for p in out], pa.binary()), pa.array([max(p) for p in out], pa.binary())], ["a", "b"])
+            return pa.RecordBatch.from_arrays([pa.array([p[0] for p in out], pa.binary()), pa.array([p[1] for p in out], pa.binary())], ["a", "b"])
 
         for batch in batches:
             if batch.num_rows:
@@ -256,12 +296,14 @@ def _blocks(open_members: DataFrame, nodes: DataFrame, m: int, percent: int) ->
         if held:
             yield emit(flush(True)[0])
 
+    sets = staged(_found(open_members.select("node").distinct(), nodes, docs, k).select("node", "hashes").dropDuplicates(["node"]), "near-sets")
     parts = F.ceil(F.col("size") / F.lit(BLOCK)).cast("int")
     dealt = open_members.withColumn("side", F.pmod(F.xxhash64("node"), parts).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
-    dealt = dealt.select("key", F.least("side", "other").alias("bi"), F.greatest("side", "other").alias("bj"), "side", "node", "label")
-    dealt = dealt.join(nodes.select("node", "n_shingles", "registers"), "node")
+    dealt = dealt.select("key", "band", F.least("side", "other").alias("bi"), F.greatest("side", "other").alias("bj"), "side", "node", "label")
+    dealt = dealt.join(nodes.select("node", "n_shingles", "registers"), "node").join(sets, "node")
     count = int(dealt.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return dealt.repartition(count, "key", "bi", "bj").sortWithinPartitions("key", "bi", "bj").select("key", "bi", "bj", "side", "node", "label", "n_shingles", "registers").mapInArrow(run, "a binary, b binary").distinct()
+    ordered = dealt.repartition(count, "key", "bi", "bj").sortWithinPartitions("key", "bi", "bj")
+    return ordered.select("key", "band", "bi", "bj", "side", "node", "label", "n_shingles", "registers", "hashes").mapInArrow(run, "a binary, b binary")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80, m: int = 120, rows: int = 5) -> DataFrame:
@@ -281,23 +323,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     tested: list[DataFrame] = []
     links: list[DataFrame] = []
     open_members = members
-    for leader in ("leader", "last", None):
-        if leader:
-            pairs = open_members.where(F.col("node") != F.col(leader)).select(F.least("node", leader).alias("a"), F.greatest("node", leader).alias("b")).distinct()
-            pairs = _estimated(pairs, nodes, m, percent)
-        else:
-            pairs = _blocks(open_members, nodes, m, percent)
+    for leader in ("leader", "last"):
+        pairs = open_members.where(F.col("node") != F.col(leader)).select(F.least("node", leader).alias("a"), F.greatest("node", leader).alias("b")).distinct()
         for seen in tested:
             pairs = pairs.join(seen, ["a", "b"], "left_anti")
-        pairs = staged(pairs, "near-pairs")
+        pairs = staged(_estimated(pairs, nodes, m, percent), "near-pairs")
         if not pairs.isEmpty():
             tested.append(pairs)
             links.append(staged(_verified(pairs, nodes, source, shingle, percent), "near-links"))
-        if leader:
-            open_members = _labelled(members, links) if links else members.join(members.groupBy("key").agg(F.count("*").alias("size")), "key").withColumn("label", F.col("node"))
-            open_members = staged(open_members, "near-open")
-            if open_members.isEmpty():
-                break
+        open_members = staged(_labelled(members, links), "near-open")
+        if open_members.isEmpty():
+            break
+    else:
+        links.append(staged(_joined_in_blocks(open_members, nodes, source, shingle, m, rows, percent), "near-links"))
 
     mapping = None
     if links:
