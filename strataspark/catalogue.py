@@ -38,7 +38,9 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_sql)
+    from . import modelling
+
+    return _sql | {"folded_foliation": with_views("obs_points", modelling.FOLD_SQL)}
 
 
 def _vector(df: DataFrame, key: str, v: angles.Vector, names: tuple[str, ...] = ("vx", "vy", "vz")) -> DataFrame:
@@ -302,7 +304,7 @@ _SQL_VALUE = "+".join(f"({'u' if dx else '(1-u)'}*{'v' if dy else '(1-v)'}*{'t'
 
 @register("obs_points", f"WITH {_CELL} SELECT pid, round({_SQL_VALUE}, 6)+0.0 AS value FROM l")
 def trilinear_value(p: DataFrame) -> DataFrame:
-    return p.select("pid", tidy(_GRID.interpolate(_field)).alias("value"))
+    return _GRID.located(p).select("pid", tidy(_GRID.interpolate(_field)).alias("value"))
 
 
 _SQL_GX = "+".join(f"({'1' if dx else '-1'}*{'v' if dy else '(1-v)'}*{'t' if dz else '(1-t)'}*(((i+{dx}+(j+{dy})*11+(k+{dz})*132)*7)%13))" for dz in (0, 1) for dy in (0, 1) for dx in (0, 1))
@@ -310,7 +312,7 @@ _SQL_GX = "+".join(f"({'1' if dx else '-1'}*{'v' if dy else '(1-v)'}*{'t' if dz
 
 @register("obs_points", f"WITH {_CELL} SELECT pid, round(({_SQL_GX})/5.0, 6)+0.0 AS gx FROM l")
 def trilinear_gradient(p: DataFrame) -> DataFrame:
-    return p.select("pid", tidy(_GRID.gradient(_field)[0]).alias("gx"))
+    return _GRID.located(p).select("pid", tidy(_GRID.gradient(_field)[0]).alias("gx"))
 
 
 @register("obs_points", f"WITH {_CELL} SELECT pid, round((1-u)*(1-v)*((i+j*11)%7) + u*(1-v)*((i+1+j*11)%7) + (1-u)*v*((i+(j+1)*11)%7) + u*v*((i+1+(j+1)*11)%7), 6)+0.0 AS value FROM l")
@@ -579,7 +581,7 @@ _NEAREST = f"{_CENTRES}, d AS (SELECT s.trace_id, c.cid, sqrt((s.X-c.X)*(s.X-c.X
 
 def _nearest(t: DataFrame) -> DataFrame:
     centres = t.groupBy(F.col("trace_id").alias("cid")).agg(F.round(F.avg("X") + 1e-9, 6).alias("X"), F.round(F.avg("Y") + 1e-9, 6).alias("Y"))
-    return relations.nearest(t.where("seq = 1"), centres, "trace_id", "cid", cell=25.0)
+    return relations.nearest(t.where("seq = 1"), centres, "trace_id", "cid")
 
 
 @register("trace_vertices", f"WITH {_NEAREST} SELECT trace_id, cid, round(d + 1e-9, 5)+0.0 AS distance FROM n")
@@ -597,7 +599,7 @@ def regularisation_weight(t: DataFrame) -> DataFrame:
 def fill_nearest(t: DataFrame) -> DataFrame:
     s = t.where("seq = 1").select("trace_id", "X", "Y", F.when(F.col("Y") < 150, F.col("Y")).alias("v"))
     known = s.where("v is not null")
-    found = relations.nearest(s.where("v is null"), known.withColumnRenamed("trace_id", "kid"), "trace_id", "kid", cell=25.0, keep=("v",))
+    found = relations.nearest(s.where("v is null"), known.withColumnRenamed("trace_id", "kid"), "trace_id", "kid", keep=("v",))
     return known.select("trace_id", "v").unionByName(found.select("trace_id", "v"))
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -91,18 +92,33 @@ class Grid:
                     out[d] = tuple(grads)
         return out
 
-    def interpolate(self, node_value) -> Column:  # noqa: ANN001  a function of a node number column
-        """Trilinear value for coefficients that are a function of the node number; NULL outside."""
-        cell, local = self.cell(), self.local()
-        total = F.lit(0.0)
-        for d, w in self.weights(local).items():
-            total = total + w * node_value(self.corner(cell, *d))
-        return F.when(self.inside(), total)
-
-    def gradient(self, node_value) -> tuple[Column, Column, Column]:  # noqa: ANN001
-        cell = self.cell()
-        sums = [F.lit(0.0)] * 3
-        for d, ws in self.gradient_weights(self.local()).items():
-            value = node_value(self.corner(cell, *d))
-            sums = [t + w * value for t, w in zip(sums, ws, strict=True)]
-        return tuple(F.when(self.inside(), t) for t in sums)
+    def located(self, points: DataFrame) -> DataFrame:
+        """Points with their cell (ci, cj, ck) and place in it (lu, lv, lt), each computed once; NULL outside."""
+        inside = points.withColumns({c: F.when(self.inside(), x) for c, x in zip(("ci", "cj", "ck"), self.cell(), strict=True)})
+        return inside.withColumns({c: (F.col(a) - F.lit(o)) / F.lit(s) - F.col(i) for c, a, o, s, i in zip(("lu", "lv", "lt"), AXES, self.origin, self.step, ("ci", "cj", "ck"), strict=True)})
+
+    def interpolate(self, node_value: Callable[[Column], Column]) -> Column:
+        """Trilinear value at `located` points, for coefficients that are a function of the node number."""
+        cell, (u, v, t) = [F.col(c) for c in ("ci", "cj", "ck")], [F.col(c) for c in ("lu", "lv", "lt")]
+        at = lambda dx, dy, dz: node_value(self.corner(cell, dx, dy, dz))
+        mid = lambda a, b, w: a + w * (b - a)
+        return mid(*[mid(*[mid(at(0, dy, dz), at(1, dy, dz), u) for dy in (0, 1)], v) for dz in (0, 1)], t)
+
+    def gradient(self, node_value: Callable[[Column], Column]) -> tuple[Column, Column, Column]:
+        """Its slopes along X, Y and Z at `located` points."""
+        cell, place = [F.col(c) for c in ("ci", "cj", "ck")], [F.col(c) for c in ("lu", "lv", "lt")]
+        mid = lambda a, b, w: a + w * (b - a)
+        out = []
+        for axis in range(3):
+            b, c = (x for x in range(3) if x != axis)
+
+            def rise(x: int, y: int, axis: int = axis, b: int = b, c: int = c) -> Column:
+                ends = []
+                for e in (0, 1):
+                    d = [0, 0, 0]
+                    d[axis], d[b], d[c] = e, x, y
+                    ends.append(node_value(self.corner(cell, *d)))
+                return (ends[1] - ends[0]) / F.lit(self.step[axis])
+
+            out.append(mid(*[mid(rise(0, y), rise(1, y), place[b]) for y in (0, 1)], place[c]))
+        return tuple(out)

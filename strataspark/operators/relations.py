@@ -106,7 +106,7 @@ def tour(lengths: dict[tuple[str, str], float]) -> list[str]:
     return out
 
 
-def nearest(points: DataFrame, targets: DataFrame, key: str, target: str, xy: tuple[str, ...] = ("X", "Y"), cell: float = 1.0, keep: tuple[str, ...] = ()) -> DataFrame:
+def nearest(points: DataFrame, targets: DataFrame, key: str, target: str, xy: tuple[str, ...] = ("X", "Y"), cell: float | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
     """For each point the nearest target and its distance; ties go to the smaller target key.
 
     Points search their own cell and the eight around it, then, for those with nothing within a cell's
@@ -114,11 +114,13 @@ def nearest(points: DataFrame, targets: DataFrame, key: str, target: str, xy: tu
     bounded by the targets in nine cells, and no round compares all points with all targets.
     """
     t = targets.select(F.col(target).alias("__t"), *[F.col(c).alias(f"__{c}") for c in xy], *keep)
-    spans = t.agg(*[F.max(f"__{c}").alias(f"h{c}") for c in xy], *[F.min(f"__{c}").alias(f"l{c}") for c in xy]).first()
+    spans = t.agg(F.count("*").alias("n"), *[F.max(f"__{c}").alias(f"h{c}") for c in xy], *[F.min(f"__{c}").alias(f"l{c}") for c in xy]).first()
     far = points.agg(*[F.max(c).alias(f"h{c}") for c in xy], *[F.min(c).alias(f"l{c}") for c in xy]).first()
-    if spans[0] is None or far[0] is None:
+    if spans[1] is None or far[0] is None:
         return points.select(key, F.lit(None).cast(dict(targets.dtypes)[target]).alias(target), F.lit(None).cast("double").alias("distance")).limit(0)
     reach = max(max(spans[f"h{c}"], far[f"h{c}"]) - min(spans[f"l{c}"], far[f"l{c}"]) for c in xy)
+    # by default as wide as holds a target or two, were they spread evenly
+    cell = cell or max(reach, 1e-9) * spans["n"] ** (-1.0 / len(xy))
     todo, found = points.select(key, *xy), []
     while True:
         width = cell
@@ -129,12 +131,12 @@ def nearest(points: DataFrame, targets: DataFrame, key: str, target: str, xy: tu
             b = b.withColumn(f"c{c}", F.explode(F.sequence(here - 1, here + 1)))
         square = sum(((F.col(c) - F.col(f"__{c}")) * (F.col(c) - F.col(f"__{c}")) for c in xy), F.lit(0.0))
         got = a.join(b, [f"c{c}" for c in xy]).withColumn("__d", F.sqrt(square))
-        best = got.groupBy(key).agg(F.min(F.struct("__d", "__t", *keep)).alias("m"))
+        best = got.groupBy(key).agg(F.min(F.struct("__d", "__t", *keep)).alias("m")).cache()
         done = best if width > reach else best.where(F.col("m.__d") <= width)
         found.append(done.select(key, F.col("m.__t").alias(target), F.col("m.__d").alias("distance"), *[F.col(f"m.{k}") for k in keep]))
         if width > reach:
             break
-        todo = todo.join(done.select(key), key, "left_anti")
+        todo = todo.join(done.select(key), key, "left_anti").cache()
         cell *= 4.0
         if todo.isEmpty():
             break
