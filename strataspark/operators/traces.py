@@ -30,7 +30,7 @@ def sample(vertices: DataFrame, spacing: float, line: str = "trace_id", order: s
     """Points at 0, spacing, 2 * spacing ... along each line; the last of a line is left out, and a line no longer than the spacing has none."""
     s = segments(vertices, line, order)
     total = F.max(F.col("start") + F.col("length")).over(W.partitionBy(line))
-    s = s.withColumn("__last", F.floor(total / spacing)).where(F.col("length") > 0)
+    s = s.withColumn("__total", total).withColumn("__last", F.floor(F.col("__total") / spacing)).where((F.col("length") > 0) & (F.col("__total") > spacing))
     first, last = F.ceil(F.col("start") / spacing), F.ceil((F.col("start") + F.col("length")) / spacing) - 1
     last = F.least(last, F.col("__last") - 1)
     points = s.where(last >= first).withColumn("k", F.explode(F.sequence(first, last)))
