@@ -60,47 +60,75 @@ class Classifier:
         return out + np.bincount(pair // len(self.keys), self.weights[pair % len(self.keys)], len(column))
 
 
-def _matrix(column: pa.Array, kind: str) -> list[np.ndarray]:
-    hashes, offsets = _features(column, kind)
-    return [np.unique(hashes[a:b]) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
+def _sets(column: pa.Array, kind: str, size: int = 256) -> Iterator[list[np.ndarray]]:
+    """The distinct features of each text, for `size` texts at a time: the driver never holds those of all."""
+    for at in range(0, len(column), size):
+        hashes, offsets = _features(column.slice(at, size), kind)
+        yield [np.unique(hashes[a:b]) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
+
+
+def _slots(keys: np.ndarray) -> np.ndarray:
+    slots = np.zeros(SLOTS, bool)
+    slots[keys & np.uint64(SLOTS - 1)] = True
+    return slots
+
+
+def _places(keys: np.ndarray, slots: np.ndarray, some: np.ndarray) -> np.ndarray:
+    """Places in `keys` of those of `some` that are among them."""
+    some = some[slots[some & np.uint64(SLOTS - 1)]]
+    place = np.minimum(np.searchsorted(keys, some), max(0, len(keys) - 1))
+    return place[keys[place] == some] if len(keys) else place[:0]
+
+
+def _counted(column: pa.Array, kind: str) -> tuple[np.ndarray, np.ndarray]:
+    """All features and the number of texts with each."""
+    keys, counts = np.empty(0, np.uint64), np.empty(0, np.int64)
+    for sets in _sets(column, kind):
+        more, n = np.unique(np.concatenate(sets), return_counts=True)
+        both, where = np.unique(np.concatenate([keys, more]), return_inverse=True)
+        keys, counts = both, np.bincount(where, np.concatenate([counts, n]), len(both)).astype(np.int64)
+    return keys, counts
 
 
 def fit(positive: pa.Array, unlabelled: pa.Array, prior: float, kind: str, most: int = 20000, steps: int = 300, rate: float = 0.1, decay: float = 1e-4) -> Classifier:
     """A classifier by non-negative PU risk. Features are those that positives have clearly more often than unlabelled texts."""
-    pos, unl = _matrix(positive, kind), _matrix(unlabelled, kind)
-    keys, df_p = np.unique(np.concatenate([*pos, np.empty(0, np.uint64)]), return_counts=True)
-    all_u = np.concatenate([*unl, np.empty(0, np.uint64)])
-    place = np.minimum(np.searchsorted(keys, all_u), max(len(keys) - 1, 0)) if len(keys) else np.empty(0, np.int64)
-    df_u = np.bincount(place[keys[place] == all_u], minlength=len(keys)) if len(keys) else df_p
-    p, u = (df_p + 0.0) / max(1, len(pos)), (df_u + 0.5) / (len(unl) + 1)
+    keys, df_p = _counted(positive, kind)
+    tried, n_pos, n_unl = len(keys), len(positive), len(unlabelled)
+    common = df_p >= max(3, 0.01 * n_pos)
+    keys, df_p = keys[common], df_p[common]
+    slots, df_u = _slots(keys), np.zeros(len(keys), np.int64)
+    for sets in _sets(unlabelled, kind):
+        for x in sets:
+            df_u[_places(keys, slots, x)] += 1
+    p, u = df_p / max(1, n_pos), (df_u + 0.5) / (n_unl + 1)
     lift = p / u
     # evidence against chance, as a log-likelihood ratio that must outweigh the number of features tried
     ratio = df_p * np.log(np.maximum(lift, 1e-9)) - (df_p - df_p / np.maximum(lift, 1e-9))
     # and at least half of the texts with the feature are toxic, going by the prior
-    chosen = np.flatnonzero((ratio >= np.log(max(2, len(keys))) + 2.0) & (prior * lift >= 0.5) & (df_p >= 0.01 * len(pos)))
+    chosen = np.flatnonzero((ratio >= np.log(max(2, tried)) + 2.0) & (prior * lift >= 0.5))
     chosen = np.sort(chosen[np.argsort(-ratio[chosen], kind="stable")[:most]])
     keys = keys[chosen]
 
-    def rows(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        idx = [np.searchsorted(keys, s[np.isin(s, keys, assume_unique=True)]) for s in sets]
-        return np.repeat(np.arange(len(sets)), [len(i) for i in idx]), np.concatenate([*idx, np.empty(0, np.int64)]).astype(np.int64)
+    slots = _slots(keys)
+
+    def rows(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        idx = [_places(keys, slots, x) for sets in _sets(column, kind) for x in sets]
+        return np.repeat(np.arange(len(idx)), [len(i) for i in idx]), np.concatenate([*idx, np.empty(0, np.int64)]).astype(np.int64)
 
-    (rp, ip), (ru, iu) = rows(pos), rows(unl)
+    (rp, ip), (ru, iu) = rows(positive), rows(unlabelled)
     w, bias = np.zeros(len(keys)), float(np.log(max(prior, 1e-6) / max(1 - prior, 1e-6)))
     m, v = np.zeros(len(keys) + 1), np.zeros(len(keys) + 1)
     sigmoid = lambda z: 1.0 / (1.0 + np.exp(-np.clip(z, -40, 40)))
     for step in range(1, steps + 1):
-        zp = np.bincount(rp, w[ip], len(pos)) + bias
-        zu = np.bincount(ru, w[iu], len(unl)) + bias
+        zp = np.bincount(rp, w[ip], n_pos) + bias
+        zu = np.bincount(ru, w[iu], n_unl) + bias
         negative = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
-        gp_pos, gp_neg, gu_neg = -prior * sigmoid(-zp) / len(pos), -prior * sigmoid(zp) / len(pos), sigmoid(zu) / len(unl)
+        gp_pos, gp_neg, gu_neg = -prior * sigmoid(-zp) / n_pos, -prior * sigmoid(zp) / n_pos, sigmoid(zu) / n_unl
         dp, du = (gp_pos + gp_neg, gu_neg) if negative >= 0 else (-gp_neg, -gu_neg)
         grad = np.append(np.bincount(ip, dp[rp], len(keys)) + np.bincount(iu, du[ru], len(keys)) + decay * w, dp.sum() + du.sum())
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
         move = rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
         w, bias = w - move[:-1], bias - move[-1]
-    slots = np.zeros(SLOTS, bool)
-    slots[keys & np.uint64(SLOTS - 1)] = True
     return Classifier(kind, keys, w, float(bias), slots)
 
 
@@ -115,12 +143,11 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     wanted = F.broadcast(toxic.unionByName(others))  # at most positives + unlabelled ids
     texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     table = texts.join(wanted, "id").select("part", "text").distinct().toArrow()
-    part, text = np.array(table["part"].to_pylist()), np.array(table["text"].to_pylist(), object)
-    order = np.argsort(np.array([hash_text(t) for t in text], np.uint64), kind="stable") if len(text) else np.empty(0, int)
-    part, text = part[order], text[order]
-    if not (part == "p").any():
+    order = np.argsort(np.array([hash_text(t.as_py()) for t in table["text"]], np.uint64), kind="stable")
+    table = table.take(pa.array(order, pa.int64()))
+    pos, unl = (table["text"].filter(pa.array([x.as_py() == part for x in table["part"]], pa.bool_())).combine_chunks() for part in "pu")
+    if not len(pos):
         return [], prior
-    pos, unl = (pa.array(text[part == x], pa.string()) for x in "pu")
     return [fit(pos, unl, prior, kind) for kind in ("words", "bytes")], prior
 
 
