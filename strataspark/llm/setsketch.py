@@ -106,7 +106,7 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, k: int, m: int) -> Dat
     """id, size of the set, node (a 128-bit hash of the whole set; null if empty) and registers, per row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in tv.chunks(batches, "text", 4 << 20):
+        for batch in tv.chunks(batches, "text"):
             sets, hashes, ends = _sets(batch.column("text"), k)
             full = np.flatnonzero(np.diff(ends))
             regs: list[bytes | None] = [None] * len(sets)
@@ -152,31 +152,31 @@ def _estimated(pairs: DataFrame, nodes: DataFrame, m: int, percent: int) -> Data
     return sized.select("a", "b", "na", "nb", "ra", "rb").mapInArrow(run, "a binary, b binary")
 
 
-def _found(wanted: DataFrame, nodes: DataFrame, docs: DataFrame, k: int) -> DataFrame:
-    """node, text and the sorted hashes of its set, for the distinct nodes of `wanted`."""
+def _found(wanted: DataFrame, nodes: DataFrame, docs: DataFrame, k: int, what: str) -> DataFrame:
+    """node and its text or (`what`: hashes) the sorted hashes of its set, for the distinct nodes of `wanted`."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in tv.chunks(batches, "text", 4 << 20):  # rows that share an id may have other texts
+        for batch in tv.chunks(batches, "text"):  # rows that share an id may have other texts
             blobs = [s.tobytes() for s in _sets(batch.column("text"), k)[0]]
             keep = [hashlib.blake2b(b, digest_size=16).digest() == n for b, n in zip(blobs, batch.column("node").to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("text"), pa.array(blobs, pa.binary())], ["node", "text", "hashes"]).filter(pa.array(keep, pa.bool_()))
+            yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("text") if what == "text" else pa.array(blobs, pa.binary())], ["node", what]).filter(pa.array(keep, pa.bool_()))
 
     place = wanted.join(nodes.select("node", F.col("id").alias("at")), "node")
-    return docs.join(place, F.col("id").eqNullSafe(F.col("at"))).select("node", "text").mapInArrow(run, "node binary, text string, hashes binary")
+    return docs.join(place, F.col("id").eqNullSafe(F.col("at"))).select("node", "text").mapInArrow(run, "node binary, text string" if what == "text" else "node binary, hashes binary")
 
 
 def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
     """The pairs whose full sets have 100 * intersection >= percent * union."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in tv.chunks(batches, "ta", 4 << 20):
+        for batch in tv.chunks(batches, "ta"):
             left, right = _sets(batch.column("ta"), k)[0], _sets(batch.column("tb"), k)[0]
             common = np.array([len(np.intersect1d(x, y, assume_unique=True)) for x, y in zip(left, right, strict=True)], np.int64)
             total = np.array([len(x) + len(y) for x, y in zip(left, right, strict=True)], np.int64) - common
             yield batch.select(["a", "b"]).filter(pa.array(100 * common >= percent * total))
 
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    texts = staged(_found(wanted, nodes, docs, k).select("node", "text"), "near-texts")
+    texts = staged(_found(wanted, nodes, docs, k, "text"), "near-texts")
     for side in "ab":
         pairs = pairs.join(texts.select(F.col("node").alias(side), F.col("text").alias(f"t{side}")), side)
     return pairs.select("a", "b", "ta", "tb").mapInArrow(run, "a binary, b binary").distinct()
@@ -295,8 +295,10 @@ def _joined_in_blocks(open_members: DataFrame, nodes: DataFrame, docs: DataFrame
                 yield emit(out)
         if held:
             yield emit(flush(True)[0])
+        held.clear()
+        tv.released()
 
-    sets = staged(_found(open_members.select("node").distinct(), nodes, docs, k).select("node", "hashes").dropDuplicates(["node"]), "near-sets")
+    sets = staged(_found(open_members.select("node").distinct(), nodes, docs, k, "hashes").dropDuplicates(["node"]), "near-sets")
     parts = F.ceil(F.col("size") / F.lit(BLOCK)).cast("int")
     dealt = open_members.withColumn("side", F.pmod(F.xxhash64("node"), parts).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
     dealt = dealt.select("key", "band", F.least("side", "other").alias("bi"), F.greatest("side", "other").alias("bj"), "side", "node", "label")

@@ -9,6 +9,7 @@ texts of any length.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -130,8 +131,16 @@ def shingles(hashes: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndarra
     return result, ends
 
 
-def chunks(batches: Iterator[pa.RecordBatch], column: str, most: int = 32 << 20) -> Iterator[pa.RecordBatch]:
-    """The batches, cut so that each holds about `most` bytes of text or one row."""
+def released() -> None:
+    """Gives memory that this worker has freed back to the system: workers live on between tasks, beside the JVM's heap."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim is not None:
+        trim(0)
+
+
+def chunks(batches: Iterator[pa.RecordBatch], column: str, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """The batches, cut so that each holds about `most` bytes of text or one row; at the end, freed memory goes back."""
     for batch in batches:
         sizes = np.diff(np.frombuffer(as_large(batch.column(column)).buffers()[1], np.int64)[: batch.num_rows + 1]) if batch.num_rows else []
         at, held = 0, 0
@@ -142,6 +151,7 @@ def chunks(batches: Iterator[pa.RecordBatch], column: str, most: int = 32 << 20)
             held += int(size)
         if batch.num_rows > at:
             yield batch.slice(at)
+    released()
 
 
 def grams(column: pa.Array | pa.ChunkedArray, size: int) -> tuple[np.ndarray, np.ndarray]:

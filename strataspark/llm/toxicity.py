@@ -171,7 +171,7 @@ def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     source = docs.select(F.col(id_col).alias("id"), (fold(id_col, FOLDS) == 0).alias("held_out"), F.col(text_col).cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in tv.chunks(batches, "text", 8 << 20):
+        for batch in tv.chunks(batches, "text"):
             value = probability(*fitted.value, batch.column("text"))
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("held_out"), pa.array(value), pa.array((value >= 0.5).astype(np.int32))], [id_col, "held_out", "score", "predicted"])
 
@@ -183,7 +183,7 @@ def accepted(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     fitted = docs.sparkSession.sparkContext.broadcast(train(docs, labels, id_col, text_col, label_col, **bounds))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in tv.chunks(batches, text_col, 8 << 20):
+        for batch in tv.chunks(batches, text_col):
             yield batch.filter(pa.array(probability(*fitted.value, batch.column(text_col)) < 0.5))
 
     return docs.mapInArrow(run, docs.schema)
