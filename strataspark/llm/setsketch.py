@@ -227,12 +227,13 @@ def _labelled(members: DataFrame, links: list[DataFrame]) -> DataFrame:
 def _joined_in_blocks(open_members: DataFrame, nodes: DataFrame, docs: DataFrame, k: int, m: int, rows: int, percent: int) -> DataFrame:
     """Links (a, b) between different components within buckets, checked on the full sets.
 
-    Blocks of members meet, never a whole bucket. A pair is looked at in the first band that it
+    Blocks of members meet, never a whole bucket, and the largest component's blocks don't meet each
+    other, so few members outside of it cost rows in proportion to the bucket. A pair is looked at in the first band that it
     shares only. Within a block, pairs that earlier links have joined are passed over, so a block
     gives fewer links than it has members, and nothing is sent for pairs that aren't links.
     """
 
-    def links_of(band: int, same_side: bool, node: list[bytes], label: list[bytes], n: np.ndarray, regs: np.ndarray, side: np.ndarray, sets: list[bytes]) -> list[tuple[bytes, bytes]]:
+    def links_of(band: int, same_side: bool, node: list[bytes], label: list[bytes], n: np.ndarray, regs: np.ndarray, side: np.ndarray, sets: pa.Array) -> list[tuple[bytes, bytes]]:
         i, j = np.triu_indices(len(n), 1)
         names = {x: t for t, x in enumerate(dict.fromkeys(label))}
         codes = np.array([names[x] for x in label])
@@ -263,7 +264,7 @@ def _joined_in_blocks(open_members: DataFrame, nodes: DataFrame, docs: DataFrame
                     continue
                 for t in (p, q):
                     if t not in held:
-                        held[t] = np.frombuffer(sets[t], np.uint64)
+                        held[t] = np.frombuffer(sets[t].as_buffer(), np.uint64)
                 common = len(np.intersect1d(held[p], held[q], assume_unique=True))
                 if 100 * common >= percent * (len(held[p]) + len(held[q]) - common):
                     root[max(u, v)] = min(u, v)
@@ -282,7 +283,7 @@ def _joined_in_blocks(open_members: DataFrame, nodes: DataFrame, docs: DataFrame
             out: list[tuple[bytes, bytes]] = []
             for a, b in zip(bounds[:todo], bounds[1 : todo + 1], strict=True):
                 part = table.slice(a, b - a)
-                out += links_of(part["band"][0].as_py(), key[a, 1] == key[a, 2], part["node"].to_pylist(), part["label"].to_pylist(), part["n_shingles"].to_numpy(), _matrix(part["registers"], m), part["side"].to_numpy(), part["hashes"].to_pylist())
+                out += links_of(part["band"][0].as_py(), key[a, 1] == key[a, 2], part["node"].to_pylist(), part["label"].to_pylist(), part["n_shingles"].to_numpy(), _matrix(part["registers"], m), part["side"].to_numpy(), part["hashes"].combine_chunks())
             return out, table.slice(bounds[max(0, todo)]).to_batches()
 
         def emit(out: list[tuple[bytes, bytes]]) -> pa.RecordBatch:
@@ -299,10 +300,18 @@ def _joined_in_blocks(open_members: DataFrame, nodes: DataFrame, docs: DataFrame
         tv.released()
 
     sets = staged(_found(open_members.select("node").distinct(), nodes, docs, k, "hashes").dropDuplicates(["node"]), "near-sets")
-    parts = F.ceil(F.col("size") / F.lit(BLOCK)).cast("int")
-    dealt = open_members.withColumn("side", F.pmod(F.xxhash64("node"), parts).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
-    dealt = dealt.select("key", "band", F.least("side", "other").alias("bi"), F.greatest("side", "other").alias("bj"), "side", "node", "label")
-    dealt = dealt.join(nodes.select("node", "n_shingles", "registers"), "node").join(sets, "node")
+    # of a bucket larger than a block, the largest component's members need no blocks of their own kind beside them
+    large = open_members.where(F.col("size") > BLOCK).groupBy("key", "label").agg(F.count("*").alias("n"))
+    largest = large.groupBy("key").agg(F.max(F.struct("n", "label")).alias("top")).select("key", F.col("top.n").alias("inside"), F.col("top.label").alias("main"))
+    whole = open_members.join(nodes.select("node", "n_shingles", "registers"), "node").join(sets, "node").join(largest, "key", "left")
+    blocks = lambda n: F.ceil(n / F.lit(BLOCK)).cast("int")
+    inside = F.coalesce("inside", F.lit(0))
+    parts = whole.withColumn("mine", F.coalesce(F.col("label") == F.col("main"), F.lit(False))).withColumn("first", blocks(inside)).withColumn("rest", blocks(F.col("size") - inside))
+    spot = F.xxhash64("node")
+    parts = parts.withColumn("side", F.when(F.col("mine"), F.pmod(spot, F.col("first"))).otherwise(F.col("first") + F.pmod(spot, F.col("rest"))).cast("int"))
+    # sides below `first` hold the largest component: they meet the other sides only
+    dealt = parts.withColumn("other", F.explode(F.sequence(F.when(F.col("mine"), F.col("first")).otherwise(F.lit(0)), F.col("first") + F.col("rest") - 1)))
+    dealt = dealt.withColumn("bi", F.least("side", "other")).withColumn("bj", F.greatest("side", "other"))
     count = int(dealt.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ordered = dealt.repartition(count, "key", "bi", "bj").sortWithinPartitions("key", "bi", "bj")
     return ordered.select("key", "band", "bi", "bj", "side", "node", "label", "n_shingles", "registers", "hashes").mapInArrow(run, "a binary, b binary")
