@@ -31,11 +31,12 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     """`df` written once as Parquet into the shared folder and read back.
 
     Later stages, retries and lost executors read the files; nothing is computed twice, and row
-    keys made before the write stay the same. The files go with `drop_staged` or at exit.
+    keys made before the write stay the same. The files go with `drop_staged` or at exit. They are
+    in zstd, whose buffers are reused; snappy's lie outside of the heap until a collection.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     _staged.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
