@@ -1,13 +1,15 @@
 """Language-model scores from a log-frequency Bloom filter of n-gram counts.
 
-Counting: every training text gives its words and pairs of neighbouring tokens. Tasks count runs of
-a few million tokens with numpy and send sorted blobs of (hash, count), dealt into buckets by hash;
-each bucket is merged once. A word in every text costs one entry per run, so no key is hot.
+Counting: every text gives its words and pairs of neighbouring tokens. Texts are written once, cut
+into runs of a few MB; tasks count a run with numpy and send sorted blobs of (hash, count), dealt
+into buckets by hash; each bucket is merged once. A word in every text costs one entry per run, so
+no key is hot. Held-out texts send their n-grams with a count of 0, as questions only.
 
 Filter: a count c is held as its level 1 + floor(log_Q(c)): the n-gram is inserted once for every
 level up to its own, and a lookup probes level after level until one is missing. Each bucket has a
-segment of the filter. The filter is broadcast, so its size is bounded (`max_mb`): the least level
-that is stored is the smallest for which the filter fits, at every input size by the same rule.
+segment of the filter, as large as its n-grams need, so the filter grows with the corpus and every
+count from 1 on is held. No task has more than a bucket's segment: the task that builds it also
+answers the runs' blobs, one byte for each n-gram, and the answers meet the texts of their run.
 
 Score: p(w | v) = (c(vw) + mu * p(w)) / (c(v) + mu), p(w) = (c(w) + 0.1) / (N + 0.1 * (V + 1)),
 with counts from the filter. mu is the strength at which a Dirichlet process over the counted words
@@ -28,16 +30,19 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from . import textvec as tv
 from .common import fold, staged
 
 U64 = np.uint64
 FOLDS = 10
-#: Tokens that a task counts at a time, and bytes of text for each bucket.
-RUN, BUCKET_BYTES = 2_000_000, 8 << 20
+#: Bytes of text in a run, and for each bucket.
+RUN_BYTES, BUCKET_BYTES = 8 << 20, 8 << 20
 #: Base of the levels, bits for each inserted level, and probes.
 Q, BITS, PROBES, LEVELS = 1.5, 12, 3, 64
 BEGIN, PAIR = U64(0x243F6A8885A308D3), U64(0x13198A2E03707344)
@@ -96,99 +101,142 @@ def _width(kind: int) -> int:
     return 8 if kind == 1 else 6
 
 
-def _summed(keys: np.ndarray, counts: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct keys in order, and the sums of their counts (1 each if None)."""
-    if counts is None:
-        return np.unique(keys, return_counts=True)
-    order = np.argsort(keys, kind="stable")
-    keys, counts = keys[order], counts[order]
-    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.empty(0, np.int64)
-    return keys[first], np.add.reduceat(counts, first) if len(first) else counts
+def _placed(texts: DataFrame) -> DataFrame:
+    """The texts, written once, with their `run` and a `row` that rises within it."""
 
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        base, rows, size = TaskContext.get().partitionId() << 40, 0, 0
+        for batch in tv.chunks(batches, "text", 2 << 20):
+            ends = size + np.cumsum(pc.binary_length(tv.as_large(batch.column("text"))).to_numpy())
+            run = np.concatenate([[size], ends[:-1]]) // RUN_BYTES
+            row = np.arange(rows, rows + batch.num_rows)
+            rows, size = rows + batch.num_rows, int(ends[-1])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(base + run.astype(np.int64)), pa.array(base + row)], [*batch.schema.names, "run", "row"])
 
-def _counted(texts: DataFrame, buckets: int) -> DataFrame:
-    """kind (1 word, 2 pair), bucket, sorted keys and their counts."""
-    schema = "kind int, bucket int, keys binary, counts binary"
-
-    def rows(kind: int, hashes: np.ndarray) -> pa.RecordBatch:
-        keys, counts = _summed(hashes, None)
-        at = _bucket(keys, buckets)
-        order = np.argsort(at, kind="stable")
-        keys, counts, at = keys[order], counts[order].astype("<u4"), at[order]
-        bounds = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1], [True]])) if len(at) else np.zeros(1, np.int64)
-        pieces = list(zip(bounds[:-1], bounds[1:], strict=True))
-        width = _width(kind)
-        return pa.RecordBatch.from_arrays([pa.array([kind] * len(pieces), pa.int32()), pa.array([int(at[a]) for a, _ in pieces], pa.int32()), pa.array([_pack(keys[a:b], width) for a, b in pieces], pa.binary()), pa.array([counts[a:b].tobytes() for a, b in pieces], pa.binary())], ["kind", "bucket", "keys", "counts"])
-
-    def flush(held: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
-        for kind in (1, 2):
-            yield rows(kind, np.concatenate([h[kind - 1] for h in held]))
+    added = [StructField(c, LongType()) for c in ("run", "row")]
+    return staged(texts.mapInArrow(place, StructType([*texts.schema.fields, *added])), "ngram-texts")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray]] = []
-        size = 0
+
+def _dealt(hashes: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """Where each of the distinct hashes goes in the order of buckets, and the bounds of the buckets."""
+    at = _bucket(hashes, buckets)
+    order = np.argsort(at, kind="stable")
+    return order, np.searchsorted(at[order], np.arange(buckets + 1))
+
+
+def _counted(texts: DataFrame, buckets: int) -> DataFrame:
+    """Per piece of a run (from row `first` on) and bucket: sorted keys of words and pairs, and their counts."""
+
+    def flush(run: int, first: int, held: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+        token, both, weight = (np.concatenate(x) for x in zip(*held, strict=True))
+        columns, filled = {}, np.zeros(buckets, bool)
+        for kind, hashes in ((1, token), (2, both)):
+            keys, back = np.unique(hashes, return_inverse=True)
+            order, bounds = _dealt(keys, buckets)
+            counts = np.bincount(back, weight, len(keys)).astype("<u4")[order]
+            columns[kind] = keys[order], counts, bounds
+            filled |= np.diff(bounds) > 0
+        some = np.flatnonzero(filled)
+        out = [pa.array(np.full(len(some), x, np.int64)) for x in (run, first)] + [pa.array(some.astype(np.int32))]
+        for kind, (keys, counts, bounds) in columns.items():
+            out += [pa.array([_pack(keys[bounds[b] : bounds[b + 1]], _width(kind)) for b in some], pa.binary()), pa.array([counts[bounds[b] : bounds[b + 1]].tobytes() for b in some], pa.binary())]
+        return pa.RecordBatch.from_arrays(out, ["run", "first", "bucket", "k1", "c1", "k2", "c2"])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, ...]] = []
+        run = first = -1
         for batch in tv.chunks(batches, "text", 2 << 20):
-            token, before, _ = tokens(batch.column("text"))
-            held.append((token, pair(before, token)))
-            size += len(token)
-            if size >= RUN:
-                yield from flush(held)
-                held, size = [], 0
+            runs = batch.column("run").to_numpy()
+            cuts = [0, *(np.flatnonzero(runs[1:] != runs[:-1]) + 1).tolist(), len(runs)]
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                if held and runs[a] != run:
+                    yield flush(run, first, held)
+                    held = []
+                if not held:
+                    run, first = int(runs[a]), batch.column("row")[a].as_py()
+                token, before, ends = tokens(batch.column("text").slice(a, b - a))
+                kept = ~np.asarray(batch.column("held_out").slice(a, b - a).to_numpy(zero_copy_only=False), bool)
+                held.append((token, pair(before, token), np.repeat(kept, np.diff(ends))))
         if held:
-            yield from flush(held)
+            yield flush(run, first, held)
+
+    return texts.select("text", "held_out", "run", "row").mapInArrow(count, "run bigint, first bigint, bucket int, k1 binary, c1 binary, k2 binary, c2 binary")
+
 
-    return texts.select("text").mapInArrow(run, schema)
+_MERGED = pa.schema([("kind", pa.int32()), ("bucket", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary()), ("total", pa.int64()), ("levels", pa.list_(pa.int64())), ("run", pa.int64()), ("first", pa.int64()), ("l1", pa.binary()), ("l2", pa.binary())])
 
 
 def _merged(counted: DataFrame) -> DataFrame:
-    """One row per kind and bucket: keys, counts and the number of n-grams of each level."""
+    """Per bucket, by kind: 1 the words, their counts and the number of each level; 2 the same numbers of pairs;
+    3 the segment of the filter; 0, for each piece, the filter's level of each of its words and pairs."""
 
     def merge(table: pa.Table) -> pa.Table:
-        kind, bucket = table["kind"][0].as_py(), table["bucket"][0].as_py()
-        keys = np.concatenate([_unpack(k, _width(kind)) for k in table["keys"].to_pylist()])
-        counts = np.concatenate([np.frombuffer(c, "<u4") for c in table["counts"].to_pylist()]).astype(np.int64)
-        keys, counts = _summed(keys, counts)
-        found = np.bincount(level(counts), minlength=LEVELS)
-        return pa.table({"kind": pa.array([kind], pa.int32()), "bucket": pa.array([bucket], pa.int32()), "keys": pa.array([_pack(keys, _width(kind))], pa.binary()), "counts": pa.array([np.minimum(counts, (1 << 32) - 1).astype("<u4").tobytes()], pa.binary()), "total": pa.array([int(counts.sum())], pa.int64()), "levels": pa.array([found.tolist()], pa.list_(pa.int64()))})
-
-    return counted.groupBy("kind", "bucket").applyInArrow(merge, "kind int, bucket int, keys binary, counts binary, total bigint, levels array<bigint>")
+        bucket, rows, held = table["bucket"][0].as_py(), [], {}
+        for kind in (1, 2):
+            blobs = table[f"k{kind}"].to_pylist()
+            keys = np.concatenate([_unpack(k, _width(kind)) for k in blobs])
+            counts = np.concatenate([np.frombuffer(c, "<u4") for c in table[f"c{kind}"].to_pylist()]).astype(np.int64)
+            keys, back = np.unique(keys, return_inverse=True)
+            total = np.zeros(len(keys), np.int64)
+            np.add.at(total, back, counts)
+            held[kind] = keys, total, back, np.cumsum([0, *(len(k) // _width(kind) for k in blobs)])
+            keys, total = keys[total > 0], total[total > 0]
+            row = {"kind": kind, "bucket": bucket, "total": int(total.sum()), "levels": np.bincount(level(total), minlength=LEVELS).tolist()}
+            rows.append(row | ({"keys": _pack(keys, 8), "counts": np.minimum(total, (1 << 32) - 1).astype("<u4").tobytes()} if kind == 1 else {}))
+        bits = segment([(kind, keys[total > 0], total[total > 0]) for kind, (keys, total, _, _) in held.items()])
+        rows.append({"kind": 3, "bucket": bucket, "keys": bits.tobytes()})
+        found = {kind: (probe(bits, keys, kind).astype(np.uint8)[back], ends) for kind, (keys, _, back, ends) in held.items()}
+        for i, (run, first) in enumerate(zip(table["run"].to_pylist(), table["first"].to_pylist(), strict=True)):
+            rows.append({"kind": 0, "bucket": bucket, "run": run, "first": first} | {f"l{kind}": lv[ends[i] : ends[i + 1]].tobytes() for kind, (lv, ends) in found.items()})
+        tv.released()
+        return pa.Table.from_pylist(rows, _MERGED)
+
+    return counted.groupBy("bucket").applyInArrow(merge, "kind int, bucket int, keys binary, counts binary, total bigint, levels array<bigint>, run bigint, first bigint, l1 binary, l2 binary")
+
+
+def segment(parts: list[tuple[int, np.ndarray, np.ndarray]]) -> np.ndarray:
+    """The bits of a bucket's segment from (kind, keys, counts)."""
+    parts = [(kind, keys, level(counts)) for kind, keys, counts in parts]
+    size = -(-sum(int(lv.sum()) for _, _, lv in parts) * BITS // 64) * 64
+    flags = np.zeros(size, np.uint8)
+    for kind, keys, lv in parts:
+        for j in range(1, int(lv.max(initial=0)) + 1):
+            flags[places(keys[lv >= j] ^ U64(kind), j, np.int64(size)).reshape(-1)] = 1
+    return np.packbits(flags, bitorder="little")
+
+
+def probe(bits: np.ndarray, keys: np.ndarray, kind: int) -> np.ndarray:
+    """The level of each key in its bucket's segment, 0 if it isn't held; probed level by level."""
+    out = np.zeros(len(keys), np.int64)
+    live = np.arange(len(keys) if len(bits) else 0)
+    key = (keys & _LOW48 if kind == 2 else keys) ^ U64(kind)
+    for j in range(1, LEVELS):
+        if not len(live):
+            break
+        spot = places(key[live], j, np.int64(len(bits) * 8))
+        live = live[((bits[spot >> 3] >> (spot & 7).astype(np.uint8)) & 1).all(axis=1)]
+        out[live] = j
+    return out
 
 
 @dataclass
 class Model:
-    """The filter's bits and segments, and the numbers of the corpus."""
+    """The filter's segments, which stay on the cluster, and the numbers of the corpus."""
 
-    bits: np.ndarray
-    starts: np.ndarray
-    sizes: np.ndarray
-    least: int
+    segments: DataFrame
     buckets: int
     n: int
     v: int
     mu: float
 
     def levels(self, hashes: np.ndarray, kind: int) -> np.ndarray:
-        """The level of each n-gram, 0 if it isn't held; probed level by level."""
-        out = np.zeros(len(hashes), np.int64)
-        if not len(self.bits):
-            return out
-        bucket = _bucket(hashes, self.buckets)
-        base, size = self.starts[bucket], self.sizes[bucket]
-        live = np.flatnonzero(size > 0)
-        key = hashes & _LOW48 if kind == 2 else hashes
-        key = key ^ U64(kind)
-        for j in range(self.least, LEVELS):
-            spot = places(key[live], j, size[live]) + base[live, None]
-            hit = ((self.bits[spot >> 3] >> (spot & 7).astype(np.uint8)) & 1).all(axis=1)
-            live = live[hit]
-            if not len(live):
-                break
-            out[live] = j
+        """The level of each of a few n-grams, 0 if it isn't held; segment by segment."""
+        out, bucket = np.zeros(len(hashes), np.int64), _bucket(hashes, self.buckets)
+        for row in self.segments.toLocalIterator():
+            mine = np.flatnonzero(bucket == row["bucket"])
+            out[mine] = probe(np.frombuffer(row["bits"], np.uint8), hashes[mine], kind)
         return out
 
-    def counts(self, hashes: np.ndarray, kind: int) -> np.ndarray:
-        return typical()[self.levels(hashes, kind)]
-
 
 def places(keys: np.ndarray, j: int, size: np.ndarray) -> np.ndarray:
     """The bits of level j of each key within segments of the given sizes."""
@@ -207,41 +255,17 @@ def strength(words: np.ndarray, pairs: int) -> float:
     return float(np.clip((lo * hi) ** 0.5, 1e-3, 1e9))
 
 
-def train(texts: DataFrame, max_mb: int = 64) -> tuple[Model, DataFrame]:
-    """The model of all rows of `texts`, and the merged counts, which stay on the cluster."""
-    size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+def train(texts: DataFrame) -> tuple[Model, DataFrame]:
+    """The model of the rows of `texts` that aren't held out, and the merged counts, segments and answers, which stay on the cluster."""
+    if "run" not in texts.columns:
+        texts = _placed(texts.withColumn("held_out", F.lit(False)))
+    size = texts.where("not held_out").agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = int(min(1 << 24, max(16, -(-size // BUCKET_BYTES))))
     merged = staged(_merged(_counted(texts, buckets)), "ngram-counts")
-    sums = {k: (np.array(levels, np.int64), int(total or 0)) for k, levels, total in merged.select("kind", "total", F.posexplode("levels").alias("j", "x")).groupBy("kind", "j").agg(F.sum("x").alias("x"), F.sum("total").alias("total")).groupBy("kind").agg(F.transform(F.sort_array(F.collect_list(F.struct("j", "x"))), lambda s: s["x"]).alias("levels"), F.min("total").alias("total")).collect()}
+    sums = {k: (np.array(levels, np.int64), int(total or 0)) for k, levels, total in merged.where("kind in (1, 2)").select("kind", "total", F.posexplode("levels").alias("j", "x")).groupBy("kind", "j").agg(F.sum("x").alias("x"), F.sum("total").alias("total")).groupBy("kind").agg(F.transform(F.sort_array(F.collect_list(F.struct("j", "x"))), lambda s: s["x"]).alias("levels"), F.min("total").alias("total")).collect()}
     none = (np.zeros(LEVELS, np.int64), 0)
     (words, n), (pairs, _) = sums.get(1, none), sums.get(2, none)
-    j = np.arange(LEVELS)
-    entries = [int(((words + pairs) * np.maximum(j - least + 1, 0)).sum()) for least in range(1, LEVELS)]
-    least = next((i + 1 for i, e in enumerate(entries) if e * BITS <= max_mb * 8_000_000), LEVELS - 1)
-
-    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                parts = [(kind, _unpack(row[f"k{kind}"], _width(kind)), level(np.frombuffer(row[f"c{kind}"], "<u4"))) for kind in (1, 2) if row[f"k{kind}"]]
-                bits = -(-sum(int(np.maximum(lv - least + 1, 0).sum()) for _, _, lv in parts) * BITS // 64) * 64
-                flags = np.zeros(bits, np.uint8)
-                for kind, keys, lv in parts:
-                    keys = keys ^ U64(kind)
-                    for x in range(least, int(lv.max(initial=0)) + 1):
-                        some = keys[lv >= x]
-                        flags[places(some, x, np.full(len(some), bits)).reshape(-1)] = 1
-                yield pa.RecordBatch.from_arrays([pa.array([row["bucket"]], pa.int32()), pa.array([np.packbits(flags, bitorder="little").tobytes()], pa.binary())], ["bucket", "bits"])
-
-    both = merged.groupBy("bucket").agg(*[F.max(F.when(F.col("kind") == k, F.col(c))).alias(f"{c[0]}{k}") for k in (1, 2) for c in ("keys", "counts")])
-    table = both.mapInArrow(build, "bucket int, bits binary").toArrow()  # at most max_mb and a word per bucket
-    starts, sizes, blobs, at = np.zeros(buckets, np.int64), np.zeros(buckets, np.int64), [], 0
-    for bucket, blob in zip(table["bucket"].to_pylist(), table["bits"], strict=True):
-        data = blob.as_buffer()
-        starts[bucket], sizes[bucket] = at, data.size * 8
-        blobs.append(np.frombuffer(data, np.uint8))
-        at += data.size * 8
-    bits = np.concatenate([*blobs, np.empty(0, np.uint8)])
-    return Model(bits, starts, sizes, least, buckets, n, int(words.sum()), strength(words, int(pairs.sum()))), merged
+    return Model(merged.where("kind = 3").select("bucket", F.col("keys").alias("bits")), buckets, n, int(words.sum()), strength(words, int(pairs.sum()))), merged
 
 
 def _word_counts(merged: DataFrame) -> DataFrame:
@@ -253,11 +277,12 @@ def _word_counts(merged: DataFrame) -> DataFrame:
     return merged.where("kind = 1").select("keys", "counts").mapInArrow(run, "word bigint, count bigint")
 
 
-def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_mb: int = 64, table: int = 1_000_000) -> DataFrame:
+def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", table: int = 1_000_000) -> DataFrame:
     """Per row: id, held_out, n_tokens, n_known, train_tokens, base_score and score."""
     spark = docs.sparkSession
     source = docs.select(F.col(id_col).alias("id"), (fold(id_col, FOLDS) == 0).alias("held_out"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    model, merged = train(source.where("not held_out"), max_mb)
+    texts = _placed(source)
+    model, merged = train(texts)
     counts = _word_counts(merged)
     spread = counts.groupBy(level_of("count").alias("j")).agg(F.count("*").alias("n")).orderBy(F.desc("j")).collect()
     cut, held = LEVELS, 0
@@ -268,38 +293,55 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_m
     top = counts.where(level_of("count") >= cut).toArrow()  # at most `table` words
     words, freq = top["word"].to_numpy().view(np.uint64), top["count"].to_numpy()
     order = np.argsort(words)
-    shared = spark.sparkContext.broadcast((model, words[order], freq[order]))
-    total = model.n + 0.1 * (model.v + 1)
+    shared = spark.sparkContext.broadcast((words[order], freq[order]))
+    total, mu, buckets = model.n + 0.1 * (model.v + 1), model.mu, model.buckets
+    names = ["id", "held_out", "row", "n_tokens", "n_known", "base", "score", "rare"]
+
+    def piece(texts: pa.Table, first: list[bytes], second: list[bytes]) -> pa.Table:
+        known, freq = shared.value
+        token, before, ends = tokens(texts["text"])
+        text, count = np.repeat(np.arange(texts.num_rows), np.diff(ends)), texts.num_rows
+        unique, back = np.unique(token, return_inverse=True)
+        place = np.minimum(np.searchsorted(known, unique), max(len(known) - 1, 0))
+        common = known[place] == unique if len(known) else np.zeros(len(unique), bool)
+        exact = np.where(common, np.log10((freq[place] if len(known) else 0) + 0.1) - np.log10(total), 0.0)
+        base = np.bincount(text, exact[back], count)
+        n_known = np.bincount(text, common[back], count).astype(np.int64)
+        rare = np.flatnonzero(~common[back])
+        # the model's own counts, all from the filter
+        plain = answered(unique, first)
+        context, at = np.unique(before, return_inverse=True)
+        held = plain[np.searchsorted(unique, np.where(context == BEGIN, tv.END, context))]
+        pairs, where = np.unique(pair(before, token), return_inverse=True)
+        both = answered(pairs, second)
+        p = (plain + 0.1) / total
+        logs = np.log10(both[where] + mu * p[back]) - np.log10(held[at] + mu)
+        lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(rare, ends), pa.int32()), pa.array(token[rare].view(np.int64)))
+        return pa.table([texts["id"], texts["held_out"], texts["row"], pa.array(np.diff(ends), pa.int64()), pa.array(n_known), pa.array(base), pa.array(np.bincount(text, logs, count)), lists], names)
+
+    def answered(unique: np.ndarray, blobs: list[bytes]) -> np.ndarray:
+        """The typical counts of a piece's distinct n-grams from the buckets' answers."""
+        out = np.empty(len(unique))
+        out[_dealt(unique, buckets)[0]] = typical()[np.frombuffer(b"".join(blobs), np.uint8)]
+        return out
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lm, known, freq = shared.value
-        for batch in tv.chunks(batches, "text", 2 << 20):
-            token, before, ends = tokens(batch.column("text"))
-            text = np.repeat(np.arange(batch.num_rows), np.diff(ends))
-            unique, back = np.unique(token, return_inverse=True)
-            place = np.minimum(np.searchsorted(known, unique), max(len(known) - 1, 0))
-            common = known[place] == unique if len(known) else np.zeros(len(unique), bool)
-            exact = np.where(common, np.log10((freq[place] if len(known) else 0) + 0.1) - np.log10(total), 0.0)
-            base = np.bincount(text, exact[back], batch.num_rows)
-            n_known = np.bincount(text, common[back], batch.num_rows).astype(np.int64)
-            rare = np.flatnonzero(~common[back])
-            # the model's own counts, all from the filter
-            plain = lm.counts(unique, 1)
-            context, at = np.unique(before, return_inverse=True)
-            held = lm.counts(np.where(context == BEGIN, tv.END, context), 1)
-            pairs, where = np.unique(pair(before, token), return_inverse=True)
-            both = lm.counts(pairs, 2)
-            p = (plain + 0.1) / total
-            logs = np.log10(both[where] + lm.mu * p[back]) - np.log10(held[at] + lm.mu)
-            value = np.bincount(text, logs, batch.num_rows)
-            bounds = np.searchsorted(rare, ends)
-            lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(token[rare].view(np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("held_out"), pa.array(np.diff(ends), pa.int64()), pa.array(n_known), pa.array(base), pa.array(value), lists], ["id", "held_out", "n_tokens", "n_known", "base", "score", "rare"])
+    def run(texts: pa.Table, answers: pa.Table) -> pa.Table:
+        texts, answers = texts.sort_by("row"), answers.sort_by([("first", "ascending"), ("bucket", "ascending")])
+        firsts, begin = np.unique(answers["first"].to_numpy(), return_index=True)
+        begin = [*begin.tolist(), answers.num_rows]
+        rows = [*np.searchsorted(texts["row"].to_numpy(), firsts).tolist(), texts.num_rows]
+        out = []
+        for i in range(len(firsts)):
+            mine = answers.slice(begin[i], begin[i + 1] - begin[i])
+            out.append(piece(texts.slice(rows[i], rows[i + 1] - rows[i]), mine["l1"].to_pylist(), mine["l2"].to_pylist()))
+        tv.released()
+        return pa.concat_tables(out)
 
     kind = dict(docs.dtypes)[id_col]
-    scored = source.mapInArrow(run, f"id {kind}, held_out boolean, n_tokens bigint, n_known bigint, base double, score double, rare array<bigint>").withColumn("row", F.monotonically_increasing_id())
+    answers = merged.where("kind = 0").select("run", "first", "bucket", "l1", "l2")
+    scored = texts.groupBy("run").cogroup(answers.groupBy("run")).applyInArrow(run, f"id {kind}, held_out boolean, row bigint, n_tokens bigint, n_known bigint, base double, score double, rare array<bigint>")
     scored = staged(scored, "ngram-scored")
-    shared.destroy()  # frees the filter on the executors
+    shared.destroy()  # frees the words on the executors
     rest = scored.select("row", F.explode("rare").alias("word")).groupBy("row", "word").agg(F.count("*").alias("tf"))
     found = rest.join(counts.where(level_of("count") < cut), "word", "left")
     part = F.col("tf") * (F.log10(F.coalesce("count", F.lit(0)) + F.lit(0.1)) - F.log10(F.lit(total)))

@@ -305,6 +305,24 @@ def test_filter_never_loses_a_count(docs):
     assert (model.levels(pairs, 2) == ngram_bloom.level(n)).mean() > 0.95
 
 
+def test_no_corpus_is_too_large_for_single_counts(docs, monkeypatch):
+    """What an n-gram takes seems a million times more to the driver: no fixed capacity may leave counts out."""
+    monkeypatch.setattr(ngram_bloom, "BITS", 12_000_000)
+    model, _ = ngram_bloom.train(docs.select("text"))
+    token, before, _ = ngram_bloom.tokens(pa.array([r.text for r in docs.select("text").collect()]))
+    for kind, hashes in ((1, token), (2, ngram_bloom.pair(before, token))):
+        distinct, n = np.unique(hashes, return_counts=True)
+        assert (n == 1).any() and (model.levels(distinct, kind) >= ngram_bloom.level(n)).all()
+
+
+def test_scores_are_the_same_for_any_runs(docs, monkeypatch):
+    whole = sorted((r.doc_id, r.n_tokens, r.score) for r in ngram_bloom.score(docs).collect())
+    monkeypatch.setattr(ngram_bloom, "RUN_BYTES", 20_000)
+    cut = sorted((r.doc_id, r.n_tokens, r.score) for r in ngram_bloom.score(docs).collect())
+    assert [r[:2] for r in cut] == [r[:2] for r in whole]
+    assert [r[2] for r in cut] == pytest.approx([r[2] for r in whole])
+
+
 def test_leaks_by_hand(spark):
     rng = random.Random(9)
     text = lambda n: " ".join(rng.choice("abcde") for _ in range(n))
