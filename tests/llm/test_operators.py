@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import collections
+import hashlib
 import itertools
 import math
 import random
@@ -234,6 +235,18 @@ def test_forest_tells_secrets_on_unseen_findings():
     assert right.mean() > 0.96
 
 
+@pytest.mark.parametrize("n", [300, 5000])
+def test_long_secrets_are_whole(spark, n):
+    body = "".join(np.random.Generator(np.random.PCG64(n)).choice(list("abcdefghijkmnpqrstuvwxyzABCDEFGHJKLMNPQRSTUVWXYZ23456789"), n - 1)) + "7"
+    named = "a_" + "long_" * n + "name"
+    cases = [(f'private_key = "{body}"', body, "assigned"), (f"seen {body} here", body, "mixed"), (f"key={body}", body, "assigned"), (f"key: {body}\n", body, "assigned"), (f"see sk_live_{body} now", f"sk_live_{body}", "stripe_key"), (f"see xoxb-{body} now", f"xoxb-{body}", "slack_token"), (f"{named} = pa$$w0rd", "pa$$w0rd", "assigned")]
+    for text, value, kind in cases:
+        assert [(c.value, c.kind) for c in secrets.candidates(text, None)] == [(value, kind)], text[:30]
+    got = {r.doc_id: r for r in secrets.scan(spark.createDataFrame([(i, c[0], "s") for i, c in enumerate(cases)], "doc_id long, text string, source string")).collect()}
+    for i, (_, value, _) in enumerate(cases):
+        assert (got[i].length, got[i].value_sha256, len(got[i].mask)) == (len(value), hashlib.sha256(value.encode()).hexdigest(), len(value))
+
+
 def cheapest(roles):
     cost, todo = {(0, 0): 0.0}, [(0.0, 0, 0)]
     while todo:
