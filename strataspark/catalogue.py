@@ -620,6 +620,47 @@ def cluster_collocated(t: DataFrame) -> DataFrame:
     return relations.clusters(t.where("seq = 1"), "trace_id", "X", "Y", 4.0)
 
 
+# the four above over every vertex: their SQL compares all rows with all, so it stays with the first vertices
+
+
+def _vertices(t: DataFrame) -> DataFrame:
+    return t.select(F.struct("trace_id", "seq").alias("vertex"), "X", "Y")
+
+
+def _by_vertex(df: DataFrame, *columns: Column | str) -> DataFrame:
+    return df.select("vertex.trace_id", "vertex.seq", *columns)
+
+
+def _vertex_nearest(t: DataFrame) -> DataFrame:
+    centres = t.groupBy(F.col("trace_id").alias("cid")).agg(F.round(F.avg("X") + 1e-9, 6).alias("X"), F.round(F.avg("Y") + 1e-9, 6).alias("Y"))
+    return relations.nearest(_vertices(t), centres, "vertex", "cid")
+
+
+@register("trace_vertices", None)
+def vertex_nearest_orientation(t: DataFrame) -> DataFrame:
+    return _by_vertex(_vertex_nearest(t), "cid", tidy(F.col("distance") + 1e-9, 5).alias("distance"))
+
+
+@register("trace_vertices", None)
+def vertex_regularisation_weight(t: DataFrame) -> DataFrame:
+    d = F.col("distance")
+    return _by_vertex(_vertex_nearest(t), tidy(1 + 2 * F.exp(-d * d / (2.0 * 50 * 50))).alias("w"))
+
+
+@register("trace_vertices", None)
+def vertex_fill_nearest(t: DataFrame) -> DataFrame:
+    s = _vertices(t).withColumn("v", F.when(F.col("Y") < 150, F.col("Y")))
+    known = s.where("v is not null")
+    found = relations.nearest(s.where("v is null"), known.withColumnRenamed("vertex", "kid"), "vertex", "kid", keep=("v",))
+    return _by_vertex(known.select("vertex", "v").unionByName(found.select("vertex", "v")), "v")
+
+
+@register("trace_vertices", None)
+def vertex_cluster_collocated(t: DataFrame) -> DataFrame:
+    """`cluster`: the first vertex of the cluster as (trace_id, seq)."""
+    return _by_vertex(relations.clusters(_vertices(t), "vertex", "X", "Y", 4.0), F.col("cluster.trace_id").alias("cluster_trace"), F.col("cluster.seq").alias("cluster_seq"))
+
+
 # ---- logs
 
 

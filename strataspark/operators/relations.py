@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 from collections import deque
 from collections.abc import Iterable
 
@@ -109,41 +110,49 @@ def tour(lengths: dict[tuple[str, str], float]) -> list[str]:
 def nearest(points: DataFrame, targets: DataFrame, key: str, target: str, xy: tuple[str, ...] = ("X", "Y"), cell: float | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
     """For each point the nearest target and its distance; ties go to the smaller target key.
 
-    Points search their own cell and the eight around it, then, for those with nothing within a cell's
-    width, twice as wide cells, until all are found or one cell covers everything. A round's work is
-    bounded by the targets in nine cells, and no round compares all points with all targets.
+    Cells of points keep the cells of targets that may hold the nearest target of one of their points:
+    those whose least distance isn't beyond the most that another can have. Coarse cells are cut into
+    4 by 4 down to `cell`, and only children of what was kept are compared, so points far from all
+    targets meet the nearest cells' targets only. Targets at one place count once.
     """
-    t = targets.select(F.col(target).alias("__t"), *[F.col(c).alias(f"__{c}") for c in xy], *keep)
+    t = targets.groupBy(*[F.col(c).alias(f"__{c}") for c in xy]).agg(F.min(F.struct(F.col(target).alias("__t"), *keep)).alias("__m"))
     spans = t.agg(F.count("*").alias("n"), *[F.max(f"__{c}").alias(f"h{c}") for c in xy], *[F.min(f"__{c}").alias(f"l{c}") for c in xy]).first()
     far = points.agg(*[F.max(c).alias(f"h{c}") for c in xy], *[F.min(c).alias(f"l{c}") for c in xy]).first()
     if spans[1] is None or far[0] is None:
-        return points.select(key, F.lit(None).cast(dict(targets.dtypes)[target]).alias(target), F.lit(None).cast("double").alias("distance")).limit(0)
+        kept = {c: kind for c, kind in targets.dtypes if c in keep}
+        return points.select(key, F.lit(None).cast(dict(targets.dtypes)[target]).alias(target), F.lit(None).cast("double").alias("distance"), *[F.lit(None).cast(kept[c]).alias(c) for c in keep]).limit(0)
     reach = max(max(spans[f"h{c}"], far[f"h{c}"]) - min(spans[f"l{c}"], far[f"l{c}"]) for c in xy)
-    # by default as wide as holds a target or two, were they spread evenly
-    cell = cell or max(reach, 1e-9) * spans["n"] ** (-1.0 / len(xy))
-    todo, found = points.select(key, *xy), []
-    while True:
-        width = cell
-        a = todo.select("*", *[F.floor(F.col(c) / width).alias(f"c{c}") for c in xy])
-        b = t
-        for c in xy:
-            here = F.floor(F.col(f"__{c}") / width)
-            b = b.withColumn(f"c{c}", F.explode(F.sequence(here - 1, here + 1)))
-        square = sum(((F.col(c) - F.col(f"__{c}")) * (F.col(c) - F.col(f"__{c}")) for c in xy), F.lit(0.0))
-        got = a.join(b, [f"c{c}" for c in xy]).withColumn("__d", F.sqrt(square))
-        best = got.groupBy(key).agg(F.min(F.struct("__d", "__t", *keep)).alias("m")).cache()
-        done = best if width > reach else best.where(F.col("m.__d") <= width)
-        found.append(done.select(key, F.col("m.__t").alias(target), F.col("m.__d").alias("distance"), *[F.col(f"m.{k}") for k in keep]))
-        if width > reach:
-            break
-        todo = todo.join(done.select(key), key, "left_anti").cache()
-        cell *= 4.0
-        if todo.isEmpty():
-            break
-    out = found[0]
-    for more in found[1:]:
-        out = out.unionByName(more)
-    return out
+    if cell is None:  # as wide as holds about four targets, also where they lie close together
+        cell, t = max(reach, 1e-9) * min(1.0, (4.0 / spans["n"]) ** (1.0 / len(xy))), t.cache()
+        while spans["n"] > 4 * t.select(*[F.floor(F.col(f"__{c}") / cell) for c in xy]).distinct().count():
+            cell /= 2.0
+    pc, tc = [f"__p{i}" for i in range(len(xy))], [f"__q{i}" for i in range(len(xy))]
+    a = points.select(F.col(key).alias("__k"), *[F.col(c).alias(f"__x{c}") for c in xy], *[F.floor(F.col(c) / cell).alias(n) for c, n in zip(xy, pc, strict=True)])
+    b = t.select("*", *[F.floor(F.col(f"__{c}") / cell).alias(n) for c, n in zip(xy, tc, strict=True)])
+    full, held = (d.select(*n).distinct().dropna().cache() for d, n in ((a, pc), (b, tc)))
+    levels = 0
+    while cell * 4**levels < reach:
+        levels += 1
+
+    def coarse(cells: DataFrame, names: list[str], k: int, up: bool) -> DataFrame:
+        """The cells of level k, with their parents if `up`."""
+        at = [F.floor(F.col(n) / 4**k).alias(n) for n in names]
+        parents = [F.floor(F.col(n) / 4 ** (k + 1)).alias(f"{n}u") for n in names] if up else []
+        return cells.select(*at, *parents).distinct()
+
+    pairs = coarse(full, pc, levels, False).crossJoin(coarse(held, tc, levels, False))
+    for k in range(levels, -1, -1):
+        if k < levels:
+            wide = pairs.select(*[F.col(n).alias(f"{n}u") for n in (*pc, *tc)])
+            pairs = wide.join(coarse(full, pc, k, True), [f"{n}u" for n in pc]).join(coarse(held, tc, k, True), [f"{n}u" for n in tc])
+        apart = [F.abs(F.col(p) - F.col(q)) for p, q in zip(pc, tc, strict=True)]
+        least = sum((F.greatest(d - 1, F.lit(0)) * F.greatest(d - 1, F.lit(0)) for d in apart), F.lit(0))
+        most = sum(((d + 1) * (d + 1) for d in apart), F.lit(0))
+        pairs = pairs.select(*pc, *tc, least.alias("__least"), F.min(most).over(W.partitionBy(*pc)).alias("__most")).where("__least <= __most").select(*pc, *tc)
+    square = sum(((F.col(f"__x{c}") - F.col(f"__{c}")) * (F.col(f"__x{c}") - F.col(f"__{c}")) for c in xy), F.lit(0.0))
+    got = a.join(pairs.join(b, tc).drop(*tc), pc).select("__k", F.sqrt(square).alias("__d"), "__m")
+    best = got.groupBy("__k").agg(F.min(F.struct("__d", "__m")).alias("m"))
+    return best.select(F.col("__k").alias(key), F.col("m.__m.__t").alias(target), F.col("m.__d").alias("distance"), *[F.col(f"m.__m.{k}").alias(k) for k in keep])
 
 
 def raster_cell(x: Column, y: Column, origin: tuple[float, float], pixel: tuple[float, float], size: tuple[int, int]) -> tuple[Column, Column]:
@@ -160,21 +169,43 @@ def toward_hanging_wall(dip_direction: Column, downthrow: Column) -> Column:
     return F.when(apart > 90.0, F.pmod(dip_direction + 180.0, F.lit(360.0))).otherwise(dip_direction)
 
 
+def _cut(df: DataFrame) -> DataFrame:
+    """`df` computed into the shared checkpoint folder, as a new source: else each round's plan holds all before it, and its size estimate the product of theirs."""
+    spark = df.sparkSession
+    if not spark.sparkContext.getCheckpointDir():  # only where the session names none, as in local tests
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="strataspark-"))
+    done = df.checkpoint()._jdf
+    return DataFrame(spark._jsparkSession.createDataFrame(done.toJavaRDD(), done.schema()), spark)
+
+
 def clusters(points: DataFrame, key: str, x: str, y: str, reach: float) -> DataFrame:
-    """Single-link clusters: points within `reach` of each other share the smallest key. Labels spread by joins until none changes."""
+    """Single-link clusters: points within `reach` of each other share the smallest key.
+
+    Points at one place and in one cell whose diagonal is within `reach` are one node. Each round a node
+    joins its smallest neighbour, chains are followed to their ends, and edges are drawn between what
+    is left, so a long chain takes few rounds.
+    """
     from ..plans.bands import near_pairs
 
-    a = points.select(F.col(key).alias("ka"), F.col(x).alias("xa"), F.col(y).alias("ya"))
-    b = points.select(F.col(key).alias("kb"), F.col(x).alias("xb"), F.col(y).alias("yb"))
-    edges = near_pairs(a, b, reach, ("xa", "ya"), ("xb", "yb")).select("ka", "kb").cache()
-    label = points.select(F.col(key).alias("k"), F.col(key).alias("label"))
-    while True:
-        spread = edges.join(label.withColumnRenamed("k", "kb"), "kb").groupBy("ka").agg(F.min("label").alias("low"))
-        new = label.join(spread, label["k"] == spread["ka"], "left").select("k", F.least("label", F.coalesce("low", "label")).alias("low"))
-        # jump: a label's own label
-        jump = new.select(F.col("k").alias("low"), F.col("low").alias("far"))
-        new = new.join(jump, "low", "left").select("k", F.coalesce("far", "low").alias("label")).cache()
-        changed = new.join(label.withColumnRenamed("label", "old"), "k").where("label <> old").isEmpty()
-        label = new
-        if changed:
-            return label.select(F.col("k").alias(key), F.col("label").alias("cluster"))
+    side = reach / 2**0.5 * (1 - 1e-9)
+    cells = [F.floor(F.col(c) / side).alias(n) for c, n in ((x, "cx"), (y, "cy"))]
+    lone = F.col(x).isNull() | F.col(y).isNull()
+    places = points.where(~lone).select(F.col(key).alias("k"), F.col(x).alias("x"), F.col(y).alias("y"), *cells)
+    nodes = places.groupBy("cx", "cy").agg(F.min("k").alias("node"))
+    spots = places.select("x", "y", "cx", "cy").distinct().join(nodes, ["cx", "cy"])
+    a, b = (spots.select(F.col("node").alias(f"k{n}"), F.col("x").alias(f"x{n}"), F.col("y").alias(f"y{n}")) for n in "ab")
+    edges = _cut(near_pairs(a, b, reach, ("xa", "ya"), ("xb", "yb")).where("ka <> kb").select("ka", "kb").distinct())
+    label = _cut(nodes.select("node", F.col("node").alias("label")))
+    while not edges.isEmpty():
+        up = _cut(edges.groupBy(F.col("ka").alias("k")).agg(F.min("kb").alias("low")).select("k", F.least("k", "low").alias("up")))
+        while True:
+            nxt = _cut(up.join(up.select(F.col("k").alias("up"), F.col("up").alias("far")), "up").select("k", F.col("far").alias("up"), (F.col("up") != F.col("far")).alias("moved")))
+            up = nxt.select("k", "up")
+            if nxt.where("moved").isEmpty():
+                break
+        label = _cut(label.join(up.withColumnRenamed("k", "label"), "label", "left").select("node", F.coalesce("up", "label").alias("label")))
+        for end in ("ka", "kb"):
+            edges = edges.join(up.select(F.col("k").alias(end), F.col("up").alias(f"{end}u")), end)
+        edges = _cut(edges.where("kau <> kbu").select(F.col("kau").alias("ka"), F.col("kbu").alias("kb")).distinct())
+    found = places.select("k", "cx", "cy").join(nodes, ["cx", "cy"]).join(label, "node").select(F.col("k").alias(key), F.col("label").alias("cluster"))
+    return found.unionByName(points.where(lone).select(key, F.col(key).alias("cluster")))
