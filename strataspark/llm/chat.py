@@ -6,16 +6,19 @@ the turn before it if both then have the same role; empty turns may be inserted.
 over the automaton, whose state is the role of the last turn, finds the cheapest way (`COSTS`); ties
 go to the smaller state, then to keeping, merging and inserting in this order.
 
-As each turn is a 4 x 4 matrix in the (min, +) algebra, a conversation can be cut anywhere. Turns
-are dealt by ranges of (conversation, turn), so a conversation of any length is spread over tasks.
-A first pass gives the matrix of the conversation that enters each task's range and of the one that
-leaves it, which are two small rows a task; from these the driver knows the costs at each range's
-ends, and a second pass repairs every range on its own.
+Conversations of at most `PIECE_BYTES` are repaired whole, one at a time. A longer one is sorted over
+all tasks and cut into pieces of about that size at places that its own bytes fix. As each turn is a
+4 x 4 matrix in the (min, +) algebra, a piece is one such matrix; from these the costs at the ends of
+all pieces of a conversation follow, where the smallest of the cheapest states is taken, and each
+piece is then repaired on its own. Its repaired pieces are joined again, `ROW_PIECES` to a row.
 
 Defined results: a null or unknown role costs as much to give a role as a relabel; null text counts
 as empty; turns sort by turn, nulls first, then role, then text; repeated rows are separate turns;
-a null conversation id is one conversation. An empty table gives an empty result. A conversation
-that lies in several ranges has one row for each, in the order of `part`. Extra columns are ignored.
+a null conversation id is one conversation. An empty table gives an empty result. Each conversation
+has one row (part 0), and one more for every `ROW_PIECES` pieces of about `PIECE_BYTES`, in the order
+of `part`; rows depend on the turns alone, not on partitions. Ids stay as they are. Extra columns are
+ignored. What one task holds at a time is one conversation of `PIECE_BYTES`, or one piece and its last
+turn; the matrices of a conversation, 128 bytes a piece, meet in one task.
 """
 
 from __future__ import annotations
@@ -23,8 +26,9 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import staged
@@ -34,6 +38,9 @@ ROLES = ("", "system", "user", "assistant")
 COSTS = {"merge": 1.0, "relabel": 2.0, "insert": 3.0}
 _NEXT = {(0, 1), (0, 2), (1, 2), (2, 3), (3, 2)}
 _INF = float("inf")
+#: Bytes of a piece (each turn counts `TURN_BYTES` besides its text), and pieces in a row of the result.
+PIECE_BYTES, TURN_BYTES, ROW_PIECES = 1 << 20, 32, 64
+START = np.array([0.0, _INF, _INF, _INF])
 
 
 def _ways() -> dict[tuple[int, int], tuple[float, tuple[str, ...]]]:
@@ -130,96 +137,109 @@ def render(turns: list[tuple[str, str]]) -> str:
     return "".join((f"\n{t}" if r == "merge" else f"<|{r}|>\n{t}") + ("<|end|>\n" if i + 1 < len(turns) else "") for i, (r, t) in enumerate(turns))
 
 
-def _code(roles: pd.Series) -> list[int]:
+def _codes(roles: pa.ChunkedArray) -> list[int]:
     known = {"system": 1, "user": 2, "assistant": 3}
-    return [known.get(r, 0) if isinstance(r, str) else 0 for r in roles.str.strip().str.lower()] if len(roles) else []
+    return [known.get(r.strip().lower(), 0) if r is not None else 0 for r in roles.to_pylist()]
 
 
-def format_chats(turns: DataFrame, id_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
-    """Per conversation (and part of it): id, part, turns in and out, merges, relabels, inserts, cost and the rendered text."""
-    spark = turns.sparkSession
+_RESULT = ["part", "turns_in", "turns_out", "merges", "relabels", "inserts", "cost", "rendered"]
+_TYPES = "part bigint, turns_in bigint, turns_out bigint, merges bigint, relabels bigint, inserts bigint, cost double, rendered string"
+_ORDER = [("turn", "ascending"), ("role", "ascending"), ("text", "ascending")]
+
+
+def _row(conv: pa.ChunkedArray, part: int, roles: list[int], texts: list[str], begin: np.ndarray, after: np.ndarray | None) -> pa.Table:
+    """The repaired turns as one row; `after` is the cost of the states that may follow, None at the end of the conversation."""
+    turns, done, _, state = repair(roles, texts, begin, END if after is None else after)
+    if after is None:
+        close(turns, done, state)
+    text = render(turns) + ("<|end|>\n" if after is None else "")
+    if part and turns and turns[0][0] != "merge":
+        text = "<|end|>\n" + text
+    values = [part, len(roles), sum(r != "merge" for r, _ in turns), done["merges"], done["relabels"], done["inserts"], done["cost"], text]
+    types = [pa.int64()] * 6 + [pa.float64(), pa.string()]
+    return pa.table([conv.slice(0, 1), *(pa.array([v], t) for v, t in zip(values, types, strict=True))], ["conv", *_RESULT])
+
+
+def _mend(table: pa.Table) -> pa.Table:
+    """One conversation that fits a piece."""
+    table = table.take(_sorted(table))
+    return _row(table["conv"], 0, _codes(table["role"]), table["text"].to_pylist(), START, None)
+
+
+def _sorted(table: pa.Table) -> pa.Array:
+    return pc.sort_indices(table, sort_keys=_ORDER, null_placement="at_start")
+
+
+def format_chats(turns: DataFrame, id_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", piece_bytes: int = PIECE_BYTES) -> DataFrame:
+    """Per conversation: id, part, turns in and out, merges, relabels, inserts, cost and the rendered text."""
     source = turns.select(F.col(id_col).alias("conv"), F.col(turn_col).alias("turn"), F.col(role_col).cast("string").alias("role"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    size = F.octet_length("text") + F.lit(TURN_BYTES)
+    long = staged(source.groupBy("conv").agg(F.sum(size).alias("bytes")).where(F.col("bytes") > piece_bytes).select(F.col("conv").alias("long")), "chat-long")
+    same = F.col("conv").eqNullSafe(F.col("long"))
+    kind = dict(source.dtypes)["conv"]
+    short = source.join(long, same, "left_anti").groupBy("conv").applyInArrow(_mend, f"conv {kind}, {_TYPES}")
+    if long.isEmpty():
+        return short.withColumnRenamed("conv", id_col)
+    pieces = _pieces(source.join(long, same, "left_semi"), size, piece_bytes)
+    return short.unionByName(_mended(pieces, kind)).withColumnRenamed("conv", id_col)
+
+
+def _pieces(rows: DataFrame, size: Column, piece_bytes: int) -> DataFrame:
+    """The turns of long conversations with their `piece` and their `place` in the order of all rows.
+
+    Rows are sorted by ranges; a running sum of bytes within each (conversation, range) and the bytes
+    of the ranges before give each turn its place, so no task needs a whole conversation.
+    """
     order = ["conv", "turn", "role", "text"]
-    count = int(spark.conf.get("spark.sql.shuffle.partitions"))
     # equal rows would share a range; the number tells them apart
-    ranged = source.withColumn("tie", F.monotonically_increasing_id()).repartitionByRange(count, *order, "tie").sortWithinPartitions(*order, "tie")
-    ranged = staged(ranged.select("*", F.spark_partition_id().alias("range"), F.monotonically_increasing_id().alias("place")), "chat-ranges")
-
-    # pass 1: the first and the last conversation of each range (one row of 16 numbers each)
-    def ends(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("place")
-        null = pdf["conv"].isna()
-        key = pdf["conv"].where(~null, 0)
-        first = ((key == key.iloc[0]) & (null == null.iloc[0])).to_numpy()
-        last = ((key == key.iloc[-1]) & (null == null.iloc[-1])).to_numpy()
-        codes = np.array(_code(pdf["role"]))
-        whole = bool(first.all())
-        return pd.DataFrame({"range": pdf["range"].iloc[0], "first": [None if null.iloc[0] else pdf["conv"].iloc[0]], "last": [None if null.iloc[-1] else pdf["conv"].iloc[-1]], "whole": whole, "enter": [product(list(codes[first])).reshape(-1).tolist()], "leave": [product(list(codes[last])).reshape(-1).tolist()]})
-
-    kind = dict(source.dtypes)["conv"]
-    found = ranged.select("range", "place", "conv", "role").groupBy("range").applyInPandas(ends, f"range int, first {kind}, last {kind}, whole boolean, enter array<double>, leave array<double>")
-    rows = found.orderBy("range").collect()  # two matrices for each range
-    begin, end, part = {}, {}, {}
-    state, n, before = None, 0, None
-    start = np.array([0.0, _INF, _INF, _INF])
-    for r in rows:
-        joins = before is not None and before.last == r.first
-        state, n = (state, n + 1) if joins else (start, 0)
-        begin[r.range], part[r.range] = state, n
-        if not r.whole:
-            state, n = start, 0
-        state = (state[:, None] + np.array(r.leave).reshape(4, 4)).min(axis=0)
-        before = r
-    after, behind = END, None
-    for r in reversed(rows):
-        joins = behind is not None and behind.first == r.last
-        if not joins:
-            after = END
-        end[r.range] = (after, joins)
-        if not r.whole:
-            after = END
-        after = (np.array(r.enter).reshape(4, 4) + after[None, :]).min(axis=1)
-        behind = r
-    # `after` must be fixed to one state where a conversation is cut, or two equally cheap paths could be mixed
-    begin, end = _fixed(rows, begin, end, start)
-    known = spark.sparkContext.broadcast((begin, end, part))
-
-    def mend(pdf: pd.DataFrame) -> pd.DataFrame:
-        begin, end, part = known.value
-        pdf = pdf.sort_values("place")
-        here = int(pdf["range"].iloc[0])
-        null = pdf["conv"].isna().to_numpy()
-        key = pdf["conv"].where(~pdf["conv"].isna(), 0).to_numpy()
-        cut = np.flatnonzero((key[1:] != key[:-1]) | (null[1:] != null[:-1])) + 1
-        bounds = [0, *cut.tolist(), len(pdf)]
-        codes, texts = _code(pdf["role"]), pdf["text"].tolist()
-        out = []
-        for i, (a, b) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)):
-            is_first, is_last = i == 0, b == len(pdf)
-            after, goes_on = end[here] if is_last else (END, False)
-            turns, done, _, state = repair(codes[a:b], texts[a:b], begin[here] if is_first else start, after)
-            if not goes_on:
-                close(turns, done, state)
-            text = render(turns) + ("" if goes_on else "<|end|>\n")
-            if is_first and part[here] and turns and turns[0][0] != "merge":
-                text = "<|end|>\n" + text
-            out.append((None if null[a] else pdf["conv"].iloc[a], part[here] if is_first else 0, b - a, sum(r != "merge" for r, _ in turns), done["merges"], done["relabels"], done["inserts"], done["cost"], text))
-        return pd.DataFrame(out, columns=["conv", "part", "turns_in", "turns_out", "merges", "relabels", "inserts", "cost", "rendered"])
-
-    fixed = ranged.select("range", "place", "conv", "role", "text").groupBy("range").applyInPandas(mend, f"conv {kind}, part int, turns_in bigint, turns_out bigint, merges bigint, relabels bigint, inserts bigint, cost double, rendered string")
-    return fixed.withColumnRenamed("conv", id_col)
-
-
-def _fixed(rows: list, begin: dict, end: dict, start: np.ndarray) -> tuple[dict, dict]:
-    """Where a conversation goes on in the next range, both sides agree on the cheapest state there, the smallest of equals."""
-    for r, following in zip(rows, rows[1:], strict=False):
-        after, joins = end[r.range]
-        if not joins:
-            continue
-        costs = begin[r.range] if r.whole else start
-        costs = (costs[:, None] + np.array(r.leave).reshape(4, 4)).min(axis=0) + after
-        one = np.full(4, _INF)
-        one[int(costs.argmin())] = 0.0
-        end[r.range] = (one, True)
-        begin[following.range] = one
-    return begin, end
+    ranged = rows.withColumn("tie", F.monotonically_increasing_id())
+    ranged = ranged.repartitionByRange(*order, "tie").sortWithinPartitions(*order, "tie")
+    ranged = staged(ranged.select("conv", "role", "text", size.cast("bigint").alias("bytes"), F.spark_partition_id().alias("range"), F.monotonically_increasing_id().alias("place")), "chat-ranges")
+    sums = ranged.groupBy("conv", "range").agg(F.sum("bytes").alias("sum"))
+    before = F.coalesce(F.sum("sum").over(Window.partitionBy("conv").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    base = sums.select(F.col("conv").alias("c"), F.col("range").alias("r"), before.alias("base"))
+    here = Window.partitionBy("conv", "range").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
+    running = ranged.withColumn("passed", F.coalesce(F.sum("bytes").over(here), F.lit(0)))
+    placed = running.join(base, F.col("conv").eqNullSafe(F.col("c")) & (F.col("range") == F.col("r")))
+    piece = F.floor((F.col("base") + F.col("passed")) / F.lit(piece_bytes)).cast("bigint")
+    return staged(placed.select("conv", piece.alias("piece"), "place", "role", "text"), "chat-pieces")
+
+
+def _mended(pieces: DataFrame, kind: str) -> DataFrame:
+    """The repaired pieces, joined again."""
+
+    def matrix(table: pa.Table) -> pa.Table:
+        table = table.sort_by("place")
+        held = pa.array([product(_codes(table["role"])).reshape(-1).tolist()], pa.list_(pa.float64()))
+        return pa.table([table["conv"].slice(0, 1), table["piece"].slice(0, 1), held], ["conv", "piece", "matrix"])
+
+    def ends(table: pa.Table) -> pa.Table:
+        """Per piece the costs of the states before it and after it; null after the last."""
+        table = table.sort_by("piece")
+        every = np.array(table["matrix"].to_pylist()).reshape(-1, 4, 4)
+        to_go = [END]
+        for m in every[:0:-1]:
+            to_go.append((m + to_go[-1][None, :]).min(axis=1))
+        state, begin, after = START, [], []
+        for m, rest in zip(every[:-1], to_go[:0:-1], strict=True):
+            begin.append(state.tolist())
+            best = int(((state[:, None] + m).min(axis=0) + rest).argmin())
+            state = np.full(4, _INF)
+            state[best] = 0.0
+            after.append(state.tolist())
+        begin.append(state.tolist())
+        lists = pa.list_(pa.float64())
+        return pa.table([table["conv"], table["piece"], pa.array(begin, lists), pa.array([*after, None], lists)], ["conv", "piece", "begin", "after"])
+
+    def mend(table: pa.Table, around: pa.Table) -> pa.Table:
+        table = table.sort_by("place")
+        begin, after = around["begin"][0].as_py(), around["after"][0].as_py()
+        return _row(table["conv"], table["piece"][0].as_py(), _codes(table["role"]), table["text"].to_pylist(), np.array(begin), None if after is None else np.array(after))
+
+    matrices = pieces.select("conv", "piece", "place", "role").groupBy("conv", "piece").applyInArrow(matrix, f"conv {kind}, piece bigint, matrix array<double>")
+    around = matrices.groupBy("conv").applyInArrow(ends, f"conv {kind}, piece bigint, begin array<double>, after array<double>")
+    mended = pieces.groupBy("conv", "piece").cogroup(around.groupBy("conv", "piece")).applyInArrow(mend, f"conv {kind}, {_TYPES}")
+    grouped = mended.groupBy("conv", F.floor(F.col("part") / F.lit(ROW_PIECES)).alias("row"))
+    sums = [F.sum(c).cast("bigint").alias(c) for c in _RESULT[1:6]]
+    text = F.concat_ws("", F.transform(F.sort_array(F.collect_list(F.struct("part", "rendered"))), lambda x: x["rendered"]))
+    return grouped.agg(*sums, F.sum("cost").alias("cost"), text.alias("rendered")).select("conv", F.col("row").cast("bigint").alias("part"), *_RESULT[1:])

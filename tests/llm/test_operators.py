@@ -266,33 +266,60 @@ def cheapest(roles):
     return None
 
 
-START = np.array([0.0, math.inf, math.inf, math.inf])
-
-
 @pytest.mark.parametrize("n", range(5))
 def test_repair_is_cheapest(n):
     for roles in itertools.product(range(4), repeat=n):
-        turns, done, _, last = chat.repair(list(roles), ["t"] * n, START, chat.END)
+        turns, done, _, last = chat.repair(list(roles), ["t"] * n, chat.START, chat.END)
         chat.close(turns, done, last)
         assert done["cost"] == cheapest(list(roles))
         assert all(p in chat._NEXT for p in itertools.pairwise([0, *[chat.ROLES.index(r) for r, _ in turns]]))
 
 
-def test_a_conversation_over_several_ranges_is_repaired_as_one(spark):
-    rng = random.Random(3)
-    rows = [(c if c != 4 else None, i, rng.choice(["user", "assistant", "system", "bot", None]), rng.choice(["a", None])) for c, n in enumerate([1, 3, 300, 7, 50]) for i in range(n)]
-    got = collections.defaultdict(list)
-    for r in chat.format_chats(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).orderBy("conv_id", "part").collect():
-        got[r.conv_id].append(r)
-    for conv, parts in got.items():
-        mine = [r for r in rows if r[0] == conv]
-        roles = [{"system": 1, "user": 2, "assistant": 3}.get(r[2], 0) for r in mine]
-        turns, done, _, last = chat.repair(roles, [r[3] or "" for r in mine], START, chat.END)
+CHATS = "conv_id long, turn long, role string, text string"
+
+
+def repaired(rows):
+    """The rendered text and cost of each conversation, repaired in one piece."""
+    key = lambda r: tuple((x is not None, x) for x in r[1:])
+    out = {}
+    for conv in {r[0] for r in rows}:
+        mine = sorted((r for r in rows if r[0] == conv), key=key)
+        turns, done, _, last = chat.repair([{"system": 1, "user": 2, "assistant": 3}.get((r[2] or "").strip().lower(), 0) for r in mine], [r[3] or "" for r in mine], chat.START, chat.END)
         chat.close(turns, done, last)
-        assert "".join(p.rendered for p in parts) == chat.render(turns) + "<|end|>\n"
-        assert sum(p.cost for p in parts) == done["cost"]
-    assert len(got[2]) > 1
-    assert chat.format_chats(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).collect() == []
+        out[conv] = len(mine), done["cost"], chat.render(turns) + "<|end|>\n"
+    return out
+
+
+def test_chats_are_one_row_each_for_any_partitions(spark):
+    rng = random.Random(3)
+    rows = [(c, i, rng.choice(["user", " Assistant", "system", "bot", None]), rng.choice(["a", "b", None])) for c, n in [(None, 50), (2**60 + 1, 4), (2**60 + 2, 3), (-5, 1), (7, 300)] for i in range(n)]
+    rows += [(7, None, "user", None)] * 3 + [(7, 5, None, "tie")] * 2
+    rng.shuffle(rows)
+    df, before = spark.createDataFrame(rows, CHATS).withColumn("part", F.lit("x")), spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for n in (1, 4, 16):
+            spark.conf.set("spark.sql.shuffle.partitions", str(n))
+            got = chat.format_chats(df).collect()
+            assert {r.conv_id: (r.turns_in, r.cost, r.rendered) for r in got} == repaired(rows) and len(got) == 5
+            assert {r.part for r in got} == {0}
+            cut = {r.conv_id: r for r in chat.format_chats(df, piece_bytes=500).collect()}
+            assert {c: (r.turns_in, r.cost) for c, r in cut.items()} == {c: r[:2] for c, r in repaired(rows).items()}
+            parts = sorted((str(c), r.rendered) for c, r in cut.items())
+            assert n == 1 or parts == first  # noqa: F821
+            first = parts  # noqa: F841
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert chat.format_chats(spark.createDataFrame([], CHATS)).collect() == []
+
+
+def test_a_repaired_chat_in_pieces_is_legal(spark):
+    rng = random.Random(8)
+    rows = [(1, i, rng.choice(["user", "assistant", "system", None]), f"t{i}") for i in range(200)]
+    (row,) = chat.format_chats(spark.createDataFrame(rows, CHATS), piece_bytes=400).collect()
+    heads = [chat.ROLES.index(r) for r in re.findall(r"<\|(system|user|assistant)\|>", row.rendered)]
+    assert all(p in chat._NEXT for p in itertools.pairwise([0, *heads])) and heads[-1] == 3
+    assert row.rendered.count("<|end|>") == len(heads) == row.turns_out
+    assert re.findall(r"t\d+", row.rendered) == [r[3] for r in rows]
 
 
 def test_base_scores_by_hand_and_better_model(docs):
@@ -365,10 +392,19 @@ def test_bpe_equals_the_library(docs):
     rng = random.Random(1)
     letters = "abcABC'sS tdTlLvVreE 0123456789ÀéÈßẞΣσςİıǅﬁ１Ⅷ½٣ aۂnُ世界日本🙂👍🏽<|startoftext|><|endoftext|>\n\t \x85\x1c\x00.,!?-_$%&"
     texts = [r.text for r in docs.collect()] + ["".join(rng.choice(letters) for _ in range(rng.randint(0, 60))) for _ in range(3000)] + ["<|startoftext|> hi <|endoftext|>", "ΑΣ ΣΑΣ.", "it's I'LL", ""]
-    for t in texts:
-        ids = other.encode(t, add_special_tokens=False).ids
-        assert mine.encode(t) == ids
-        assert mine.decode(ids) == other.decode(ids, skip_special_tokens=False) == mine.joined(t)[1]
+    texts += ["ab" * n for n in (23, 24, 25, 300)] + ["é" * 100, "'s't'll'lll '' 'd' 'r"]
+    rng.shuffle(texts)
+    ids, offsets = mine.ids([*texts, None])
+    written, decoded = mine.written(ids, offsets), mine.decoded(ids, offsets)
+    assert len(written) == len(texts) + 1 and offsets[-1] == offsets[-2]
+    for i, t in enumerate(texts):
+        expected = other.encode(t, add_special_tokens=False).ids
+        assert ids[offsets[i] : offsets[i + 1]].tolist() == expected
+        assert bytes(written[i]).decode() == " ".join(map(str, expected))
+        assert bytes(decoded[i]).decode() == other.decode(expected, skip_special_tokens=False)
+    assert mine.encode(texts[0]) == other.encode(texts[0], add_special_tokens=False).ids
+    some = [5, 49_000_000, 300, -1]
+    assert mine.decode(some) == other.decode([5, 300], skip_special_tokens=False)
 
 
 def test_sql_twins(spark, sf_dir):
