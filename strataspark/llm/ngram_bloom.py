@@ -5,15 +5,22 @@ into runs of a few MB; tasks count a run with numpy and send sorted blobs of (ha
 into buckets by hash; each bucket is merged once. A word in every text costs one entry per run, so
 no key is hot. Held-out texts send their n-grams with a count of 0, as questions only.
 
-Filter: a count c is held as its level 1 + floor(log_Q(c)): the n-gram is inserted once for every
-level up to its own, and a lookup probes level after level until one is missing. Each bucket has a
-segment of the filter, as large as its n-grams need, so the filter grows with the corpus and every
-count from 1 on is held. No task has more than a bucket's segment: the task that builds it also
-answers the runs' blobs, one byte for each n-gram, and the answers meet the texts of their run.
-
-Score: p(w | v) = (c(vw) + mu * p(w)) / (c(v) + mu), p(w) = (c(w) + 0.1) / (N + 0.1 * (V + 1)),
-with counts from the filter. mu is the strength at which a Dirichlet process over the counted words
-would show as many distinct pairs as were counted; it comes from the counts of the whole corpus.
+Filter: a count c is held as its level j, where THRESHOLDS[j - 1] <= c < THRESHOLDS[j]; these grow by
+one, then by Q. The n-gram is inserted once for every level up to its own, and a lookup probes level
+after level until one is missing. Each bucket has a segment of the filter, as large as its n-grams
+need, so the filter grows with the corpus and every count from 1 on is held. No task has more than a
+bucket's segment: the task that builds it also answers the runs' blobs, one byte for each n-gram, and
+the answers meet the texts of their run.
+
+Score: low(x) and high(x) are the least and the greatest count of the level held for x.
+    p(w) = (low(w) + 0.1) / (sum of low over the words + 0.1 * (V + 1))
+    p(w | v) = (min(low(vw), high(v), high(w)) + mu * p(w)) / (high(v) + ghosts + mu)
+As low never exceeds a count and high is never under one, p(w | v) over all words and one unseen word
+sums to at most 1, and to at least 1 / Q**2, as high < Q * low at every level. A pair
+that was never counted may be taken for one by chance; `ghosts` is what such pairs are expected to
+add to a context, the segments' chance of it times V. mu is the strength at which a Dirichlet process
+over the counted words would show as many distinct pairs as were counted; it comes from the counts
+of the whole corpus.
 
 The base score is exact: words above a count so that at most `table` of them remain are looked up
 in a broadcast table; all others are joined with their counts.
@@ -26,7 +33,7 @@ score is that of unseen tokens. Extra columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -43,23 +50,28 @@ U64 = np.uint64
 FOLDS = 10
 #: Bytes of text in a run, and for each bucket.
 RUN_BYTES, BUCKET_BYTES = 8 << 20, 8 << 20
-#: Base of the levels, bits for each inserted level, and probes.
-Q, BITS, PROBES, LEVELS = 1.5, 12, 3, 64
+#: Growth of the levels, bits for each inserted level, and probes.
+Q, BITS, PROBES = 1.2, 20, 7
 BEGIN, PAIR = U64(0x243F6A8885A308D3), U64(0x13198A2E03707344)
 _LOW48 = U64((1 << 48) - 1)
 
 
-def level(counts: np.ndarray) -> np.ndarray:
-    return np.minimum(1 + np.floor(np.log(np.maximum(counts, 1)) / np.log(Q) + 1e-9).astype(np.int64), LEVELS - 1)
+def _thresholds() -> np.ndarray:
+    out = [1]
+    while out[-1] < 1 << 62:
+        out.append(max(out[-1] + 1, int(out[-1] * Q)))
+    return np.array(out, np.int64)
 
 
-def typical() -> np.ndarray:
-    """The mean of the counts of each level; 0 for level 0."""
-    out = [0.0]
-    for j in range(1, LEVELS):
-        lo, hi = int(np.ceil(Q ** (j - 1) - 1e-9)), int(np.ceil(Q**j - 1e-9)) - 1
-        out.append((lo + max(lo, hi)) / 2.0)
-    return np.array(out)
+#: The least count of each level, from level 1 on.
+THRESHOLDS = _thresholds()
+LEVELS = len(THRESHOLDS) + 1
+LOW = np.concatenate([[0], THRESHOLDS]).astype(float)
+HIGH = np.concatenate([[0], THRESHOLDS[1:] - 1, [1 << 62]]).astype(float)
+
+
+def level(counts: np.ndarray) -> np.ndarray:
+    return np.searchsorted(THRESHOLDS, counts, "right")
 
 
 def tokens(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -163,7 +175,7 @@ def _counted(texts: DataFrame, buckets: int) -> DataFrame:
     return texts.select("text", "held_out", "run", "row").mapInArrow(count, "run bigint, first bigint, bucket int, k1 binary, c1 binary, k2 binary, c2 binary")
 
 
-_MERGED = pa.schema([("kind", pa.int32()), ("bucket", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary()), ("total", pa.int64()), ("levels", pa.list_(pa.int64())), ("run", pa.int64()), ("first", pa.int64()), ("l1", pa.binary()), ("l2", pa.binary())])
+_MERGED = pa.schema([("kind", pa.int32()), ("bucket", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary()), ("total", pa.int64()), ("levels", pa.list_(pa.int64())), ("run", pa.int64()), ("first", pa.int64()), ("l1", pa.binary()), ("l2", pa.binary()), ("chance", pa.float64())])
 
 
 def _merged(counted: DataFrame) -> DataFrame:
@@ -182,16 +194,16 @@ def _merged(counted: DataFrame) -> DataFrame:
             held[kind] = keys, total, back, np.cumsum([0, *(len(k) // _width(kind) for k in blobs)])
             keys, total = keys[total > 0], total[total > 0]
             row = {"kind": kind, "bucket": bucket, "total": int(total.sum()), "levels": np.bincount(level(total), minlength=LEVELS).tolist()}
-            rows.append(row | ({"keys": _pack(keys, 8), "counts": np.minimum(total, (1 << 32) - 1).astype("<u4").tobytes()} if kind == 1 else {}))
+            rows.append(row | ({"keys": _pack(keys, 8), "counts": total.astype("<i8").tobytes()} if kind == 1 else {}))
         bits = segment([(kind, keys[total > 0], total[total > 0]) for kind, (keys, total, _, _) in held.items()])
-        rows.append({"kind": 3, "bucket": bucket, "keys": bits.tobytes()})
+        rows.append({"kind": 3, "bucket": bucket, "keys": bits.tobytes(), "chance": chance(bits)})
         found = {kind: (probe(bits, keys, kind).astype(np.uint8)[back], ends) for kind, (keys, _, back, ends) in held.items()}
         for i, (run, first) in enumerate(zip(table["run"].to_pylist(), table["first"].to_pylist(), strict=True)):
             rows.append({"kind": 0, "bucket": bucket, "run": run, "first": first} | {f"l{kind}": lv[ends[i] : ends[i + 1]].tobytes() for kind, (lv, ends) in found.items()})
         tv.released()
         return pa.Table.from_pylist(rows, _MERGED)
 
-    return counted.groupBy("bucket").applyInArrow(merge, "kind int, bucket int, keys binary, counts binary, total bigint, levels array<bigint>, run bigint, first bigint, l1 binary, l2 binary")
+    return counted.groupBy("bucket").applyInArrow(merge, "kind int, bucket int, keys binary, counts binary, total bigint, levels array<bigint>, run bigint, first bigint, l1 binary, l2 binary, chance double")
 
 
 def segment(parts: list[tuple[int, np.ndarray, np.ndarray]]) -> np.ndarray:
@@ -201,10 +213,16 @@ def segment(parts: list[tuple[int, np.ndarray, np.ndarray]]) -> np.ndarray:
     flags = np.zeros(size, np.uint8)
     for kind, keys, lv in parts:
         for j in range(1, int(lv.max(initial=0)) + 1):
-            flags[places(keys[lv >= j] ^ U64(kind), j, np.int64(size)).reshape(-1)] = 1
+            keys, lv = keys[lv >= j], lv[lv >= j]
+            flags[places(keys ^ U64(kind), j, np.int64(size)).reshape(-1)] = 1
     return np.packbits(flags, bitorder="little")
 
 
+def chance(bits: np.ndarray) -> float:
+    """The chance that a segment holds a level of an n-gram that was never inserted."""
+    return float((np.bitwise_count(bits).sum() / max(1, 8 * len(bits))) ** PROBES)
+
+
 def probe(bits: np.ndarray, keys: np.ndarray, kind: int) -> np.ndarray:
     """The level of each key in its bucket's segment, 0 if it isn't held; probed level by level."""
     out = np.zeros(len(keys), np.int64)
@@ -213,8 +231,11 @@ def probe(bits: np.ndarray, keys: np.ndarray, kind: int) -> np.ndarray:
     for j in range(1, LEVELS):
         if not len(live):
             break
-        spot = places(key[live], j, np.int64(len(bits) * 8))
-        live = live[((bits[spot >> 3] >> (spot & 7).astype(np.uint8)) & 1).all(axis=1)]
+        some = key[live]
+        for first, last in ((0, 2), (2, PROBES)):  # most of those that aren't held fall at the first probes
+            spot = places(some, j, np.int64(len(bits) * 8), first, last)
+            on = ((bits[spot >> 3] >> (spot & 7).astype(np.uint8)) & 1).all(axis=1)
+            live, some = live[on], some[on]
         out[live] = j
     return out
 
@@ -228,6 +249,13 @@ class Model:
     n: int
     v: int
     mu: float
+    low: float
+    ghosts: float
+
+    @property
+    def size(self) -> float:
+        """The denominator of p(w)."""
+        return self.low + 0.1 * (self.v + 1)
 
     def levels(self, hashes: np.ndarray, kind: int) -> np.ndarray:
         """The level of each of a few n-grams, 0 if it isn't held; segment by segment."""
@@ -238,17 +266,17 @@ class Model:
         return out
 
 
-def places(keys: np.ndarray, j: int, size: np.ndarray) -> np.ndarray:
+def places(keys: np.ndarray, j: int, size: np.ndarray, first: int = 0, last: int = PROBES) -> np.ndarray:
     """The bits of level j of each key within segments of the given sizes."""
     h = tv.mix(keys + U64(j * int(tv.BASE) % (1 << 64)))
     step = (h >> U64(33)) | U64(1)
     size = size.astype(np.uint64)
-    return np.stack([((h + U64(i) * step) % size).astype(np.int64) for i in range(PROBES)], axis=1)
+    return np.stack([((h + U64(i) * step) % size).astype(np.int64) for i in range(first, last)], axis=1)
 
 
 def strength(words: np.ndarray, pairs: int) -> float:
     """mu with sum over words of mu * log(1 + c / mu) = pairs; `words` has the number of words of each level."""
-    c, lo, hi = typical(), 1e-3, 1e12
+    c, lo, hi = LOW, 1e-3, 1e12
     for _ in range(200):
         mu = (lo * hi) ** 0.5
         lo, hi = (mu, hi) if (words * mu * np.log1p(c / mu)).sum() < pairs else (lo, mu)
@@ -265,14 +293,24 @@ def train(texts: DataFrame) -> tuple[Model, DataFrame]:
     sums = {k: (np.array(levels, np.int64), int(total or 0)) for k, levels, total in merged.where("kind in (1, 2)").select("kind", "total", F.posexplode("levels").alias("j", "x")).groupBy("kind", "j").agg(F.sum("x").alias("x"), F.sum("total").alias("total")).groupBy("kind").agg(F.transform(F.sort_array(F.collect_list(F.struct("j", "x"))), lambda s: s["x"]).alias("levels"), F.min("total").alias("total")).collect()}
     none = (np.zeros(LEVELS, np.int64), 0)
     (words, n), (pairs, _) = sums.get(1, none), sums.get(2, none)
-    return Model(merged.where("kind = 3").select("bucket", F.col("keys").alias("bits")), buckets, n, int(words.sum()), strength(words, int(pairs.sum()))), merged
+    v = int(words.sum())
+    segments = merged.where("kind = 3")
+    ghosts = v * float(segments.agg(F.avg("chance")).first()[0] or 0.0)
+    return Model(segments.select("bucket", F.col("keys").alias("bits")), buckets, n, v, strength(words, int(pairs.sum())), float((words * LOW).sum()), ghosts), merged
+
+
+def conditional(pair_level: np.ndarray, context_level: np.ndarray, word_level: np.ndarray, model: Model) -> np.ndarray:
+    """p(w | v) from the levels held for vw, v and w."""
+    most = HIGH[context_level]
+    seen = np.minimum(LOW[pair_level], np.minimum(most, HIGH[word_level]))
+    return (seen + model.mu * (LOW[word_level] + 0.1) / model.size) / (most + model.ghosts + model.mu)
 
 
 def _word_counts(merged: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for keys, counts in zip(batch.column("keys").to_pylist(), batch.column("counts").to_pylist(), strict=True):
-                yield pa.RecordBatch.from_arrays([pa.array(_unpack(keys, 8).view(np.int64)), pa.array(np.frombuffer(counts, "<u4").astype(np.int64))], ["word", "count"])
+                yield pa.RecordBatch.from_arrays([pa.array(_unpack(keys, 8).view(np.int64)), pa.array(np.frombuffer(counts, "<i8"))], ["word", "count"])
 
     return merged.where("kind = 1").select("keys", "counts").mapInArrow(run, "word bigint, count bigint")
 
@@ -285,8 +323,8 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", table
     model, merged = train(texts)
     counts = _word_counts(merged)
     spread = counts.groupBy(level_of("count").alias("j")).agg(F.count("*").alias("n")).orderBy(F.desc("j")).collect()
-    cut, held = LEVELS, 0
-    for j, n in spread:  # whole levels, from the most frequent words down
+    cut, held = 64, 0
+    for j, n in spread:  # whole powers of two, from the most frequent words down
         if held + n > table:
             break
         cut, held = j, held + n
@@ -294,7 +332,8 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", table
     words, freq = top["word"].to_numpy().view(np.uint64), top["count"].to_numpy()
     order = np.argsort(words)
     shared = spark.sparkContext.broadcast((words[order], freq[order]))
-    total, mu, buckets = model.n + 0.1 * (model.v + 1), model.mu, model.buckets
+    total, buckets = model.n + 0.1 * (model.v + 1), model.buckets
+    plain_model = replace(model, segments=None)
     names = ["id", "held_out", "row", "n_tokens", "n_known", "base", "score", "rare"]
 
     def piece(texts: pa.Table, first: list[bytes], second: list[bytes]) -> pa.Table:
@@ -313,16 +352,14 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", table
         context, at = np.unique(before, return_inverse=True)
         held = plain[np.searchsorted(unique, np.where(context == BEGIN, tv.END, context))]
         pairs, where = np.unique(pair(before, token), return_inverse=True)
-        both = answered(pairs, second)
-        p = (plain + 0.1) / total
-        logs = np.log10(both[where] + mu * p[back]) - np.log10(held[at] + mu)
+        logs = np.log10(conditional(answered(pairs, second)[where], held[at], plain[back], plain_model))
         lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(rare, ends), pa.int32()), pa.array(token[rare].view(np.int64)))
         return pa.table([texts["id"], texts["held_out"], texts["row"], pa.array(np.diff(ends), pa.int64()), pa.array(n_known), pa.array(base), pa.array(np.bincount(text, logs, count)), lists], names)
 
     def answered(unique: np.ndarray, blobs: list[bytes]) -> np.ndarray:
-        """The typical counts of a piece's distinct n-grams from the buckets' answers."""
-        out = np.empty(len(unique))
-        out[_dealt(unique, buckets)[0]] = typical()[np.frombuffer(b"".join(blobs), np.uint8)]
+        """The levels of a piece's distinct n-grams from the buckets' answers."""
+        out = np.empty(len(unique), np.uint8)
+        out[_dealt(unique, buckets)[0]] = np.frombuffer(b"".join(blobs), np.uint8)
         return out
 
     def run(texts: pa.Table, answers: pa.Table) -> pa.Table:
@@ -351,5 +388,5 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", table
 
 
 def level_of(count: str) -> Column:
-    """`level` as a column."""
-    return F.least(F.lit(1) + F.floor(F.ln(F.greatest(F.col(count), F.lit(1)).cast("double")) / F.lit(float(np.log(Q))) + F.lit(1e-9)), F.lit(LEVELS - 1)).cast("int")
+    """A coarse scale of counts, by powers of two."""
+    return F.floor(F.log2(F.greatest(F.col(count), F.lit(1)).cast("double"))).cast("int")

@@ -334,7 +334,58 @@ def test_base_scores_by_hand_and_better_model(docs):
             t, s = [*words(r.text), None], scored[r.doc_id]
             assert (s.n_tokens, s.n_known, s.train_tokens, s.held_out) == (len(t), sum(count[w] > 0 for w in t), total, not kept(r))
             assert s.base_score == pytest.approx(sum(math.log10((count[w] + 0.1) / size) for w in t))
-    assert sum(s.score for s in scored.values()) > sum(s.base_score for s in scored.values())
+    for held in (True, False):
+        assert sum(s.score for s in scored.values() if s.held_out == held) > sum(s.base_score for s in scored.values() if s.held_out == held)
+
+
+def test_scores_by_hand(docs):
+    """The model from exact counts; a ghost in the filter may move few texts only."""
+    rows = {r.doc_id: [*words(r.text), None] for r in docs.select("doc_id", "text").collect()}
+    train = [t for i, t in rows.items() if zlib.crc32(str(i).encode()) % 10 != 0]
+    one, two = collections.Counter(itertools.chain(*train)), collections.Counter(p for t in train for p in zip(["", *t], t))  # noqa: B905
+    model, _ = ngram_bloom.train(docs.where(~F.col("doc_id").isin([i for i in rows if zlib.crc32(str(i).encode()) % 10 == 0])).select("text"))
+    grown = [int(x) for x in ngram_bloom.THRESHOLDS]
+
+    def ends(c):
+        j = sum(t <= c for t in grown[:200])
+        return (grown[j - 1], grown[j] - 1) if j else (0, 0)
+
+    size = sum(ends(c)[0] for c in one.values()) + 0.1 * (len(one) + 1)
+    assert (model.n, model.v, model.size) == (sum(one.values()), len(one), pytest.approx(size))
+    scored = {r.doc_id: r.score for r in ngram_bloom.score(docs).collect()}
+    same, total = 0, [0.0, 0.0]
+    for i, t in rows.items():
+        want = 0.0
+        for v, w in zip(["", *t], t):  # noqa: B905
+            least = min(ends(two[v, w])[0], ends(one[v or None])[1], ends(one[w])[1])
+            want += math.log10((least + model.mu * (ends(one[w])[0] + 0.1) / size) / (ends(one[v or None])[1] + model.ghosts + model.mu))
+        same += scored[i] == pytest.approx(want, abs=1e-6)
+        total = [total[0] + want, total[1] + scored[i]]
+    assert same > 0.8 * len(rows) and total[1] == pytest.approx(total[0], rel=2e-3)
+
+
+def test_probabilities_sum_to_one(docs):
+    model, _ = ngram_bloom.train(docs.select("text"))
+    token, before, _ = ngram_bloom.tokens(pa.array([r.text for r in docs.select("text").collect()]))
+    words_, n = np.unique(token, return_counts=True)
+    plain = model.levels(words_, 1)
+    assert ((ngram_bloom.LOW[plain] + 0.1).sum() + 0.1) / model.size == pytest.approx(1, abs=0.01)
+    order = np.argsort(-n)
+    for at in [*order[:4], *order[100:102], order[-1]]:
+        context = ngram_bloom.BEGIN if words_[at] == textvec.END else words_[at]
+        pairs = model.levels(ngram_bloom.pair(np.full(len(words_), context), words_), 2)
+        p = ngram_bloom.conditional(np.append(pairs, 0), np.full(len(words_) + 1, plain[at]), np.append(plain, 0), model)
+        assert 0 < p.min() and p.max() <= 1 and 1 / ngram_bloom.Q**2 <= p.sum() <= 1.02
+    small = ngram_bloom.HIGH[1:150], ngram_bloom.LOW[1:150]
+    assert (small[0] < ngram_bloom.Q * small[1]).all()
+
+
+def test_counts_over_32_bits_are_merged_exactly(spark):
+    keys = np.array([5, 9], np.uint64)
+    piece = lambda run: (run, 0, 3, ngram_bloom._pack(keys, 8), np.array([4_000_000_000, run], "<u4").tobytes(), b"", b"")
+    df = spark.createDataFrame([piece(r) for r in range(3)], "run bigint, first bigint, bucket int, k1 binary, c1 binary, k2 binary, c2 binary")
+    got = {r.word: r["count"] for r in ngram_bloom._word_counts(ngram_bloom._merged(df)).collect()}
+    assert got == {5: 12_000_000_000, 9: 3}
 
 
 def test_filter_never_loses_a_count(docs):
