@@ -82,21 +82,44 @@ def test_words_and_shingles_equal_python():
     assert np.diff(ends).tolist() == [max(len(e) - 2, min(len(e), 1)) for e in expected]
 
 
-def test_toxicity_finds_held_out_toxic_texts(spark):
+@pytest.mark.parametrize("share", [0.125, 0.4])
+def test_toxicity_finds_held_out_toxic_texts(spark, share):
     rng = random.Random(4)
     common, bad = [f"w{i}" for i in range(300)], ["vile", "scum"]
-    rows, labels = [], []
+    rows, labels, truth = [], [], {}
     for i in range(1500):
-        toxic = i % 8 == 0
-        text = [rng.choice(common) for _ in range(40)] + ([rng.choice(bad) for _ in range(3)] if toxic else [])
+        truth[i] = rng.random() < share
+        text = [rng.choice(common) for _ in range(40)] + ([rng.choice(bad) for _ in range(3)] if truth[i] else [])
         rng.shuffle(text)
         rows.append((i, " ".join(text)))
         if i // 8 % 2 == 0:
-            labels.append((i, int(toxic)))
+            labels.append((i, int(truth[i])))
+    rows += [(10_000, ""), (10_001, None)]
     got = toxicity.score(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")).collect()
-    held = [r for r in got if r.held_out]
+    held = [r for r in got if r.held_out and r.doc_id < 10_000]
     assert {r.held_out for r in got if zlib.crc32(str(r.doc_id).encode()) % 5 == 0} == {True}
-    assert sum(r.predicted == (r.doc_id % 8 == 0) for r in held) / len(held) > 0.97
+    assert sum(r.predicted == truth[r.doc_id] for r in held) / len(held) > 0.97
+    assert all(r.score < 0.5 for r in got if r.doc_id >= 10_000)
+
+
+@pytest.mark.parametrize("prior", [0.1, 0.4, 0.9])
+def test_texts_without_evidence_are_not_toxic(spark, prior):
+    """Labels that go by nothing in the texts: no feature tells, and none is predicted toxic."""
+    n = 300
+    rows = [(i, " ".join(random.Random(i).choices(["a", "b", "c", "dd", "word"], k=20))) for i in range(n)]
+    got = toxicity.score(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(i, int(random.Random(-i).random() < prior)) for i in range(n)], "doc_id long, toxic int")).collect()
+    assert len(got) == n and not any(r.predicted for r in got)
+
+
+def test_feature_counts_cover_all_texts(spark):
+    texts = ["aa bb aa", "bb", None, "", "cc aa"] * 7
+    df = spark.createDataFrame([(t,) for t in texts], "text string").na.fill("").repartition(3)
+    counted = {r.feature: r["count"] for r in toxicity._counts(df).collect()}
+    (hashes, _), names = textvec.words(pa.array(["aa bb cc"])), ["aa", "bb", "cc"]
+    assert [counted[int(h)] for h in hashes.view(np.int64)] == [sum(w in (t or "").split() for t in texts) for w in names]
+    keys = np.sort(hashes)
+    again = {r.feature: r["count"] for r in toxicity._counts(df, toxicity.Features(keys, toxicity._slots(keys))).collect()}
+    assert again == {int(h): counted[int(h)] for h in keys.view(np.int64)}
 
 
 def lines_by_hand(texts):
