@@ -15,13 +15,15 @@ _staged: list[tuple[SparkSession, str]] = []
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors see (spark.checkpoint.dir).
 
-    Only where the session names none, as in local tests, is a temporary folder set.
+    Only where the session names none and is local, as in tests, is a temporary folder set.
     """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
         found = spark.sparkContext._jsc.sc().getCheckpointDir()
         found = found.get() if found.isDefined() else None
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="strataspark-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")

@@ -2,17 +2,21 @@
 
 `mux` writes packets into two logical streams, turn by turn, as an Ogg file; `demux` reads any Ogg
 file: it checks every page's checksum and sequence number, puts packets together from lacing values
-over page ends, and parts the streams by serial number. The last granule position of a page gives
-the time of the last packet that ends on it; within a page, packets share the time evenly by size.
+over page ends, and parts the streams by serial number. The granule position of a page is the time of
+the last packet that ends on it. The packets before it follow backwards from there by what each lasts
+(`lasting`, given the stream's first packet); without that they share the time since the page before
+evenly by size.
 
 A text is stored as 8-bit samples of `RATE` Hz: its UTF-8 bytes, filled with spaces to a positive
 multiple of 192, are packets of 192 samples. Packet i goes to stream i mod 2, and each stream's
-granule position counts the samples of the payload up to the end of the packet, so reading sorts
-the packets of both streams by time.
+granule position counts the samples of the payload up to the end of the packet, so a packet moves its
+stream on by 384. Reading derives every packet's time from the granule positions alone and sorts the
+packets of both streams by it; a gap or two packets of one time raise an error.
 
 Defined results: null counts as empty text, whose payload is one packet of spaces; equal texts give
 equal bytes, as serial numbers come from the payload; rows that repeat an id are handled one by one;
-extra columns are ignored. A page that fails its checksum or a gap in the sequence raises an error
+extra columns are ignored; texts of any length are stored whole, one at a time in memory; an empty
+table gives an empty result. A page that fails its checksum or a gap in the sequence raises an error
 in `demux`, and is reported in `Media.errors` with strict=False.
 """
 
@@ -22,7 +26,7 @@ import hashlib
 import json
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -128,12 +132,13 @@ def mux(streams: dict[int, list[tuple[bytes, int]]], most: int = PAGE_PACKETS) -
     return b"".join(out)
 
 
-def demux(data: bytes, strict: bool = True) -> Media:
-    """Reads an Ogg file. strict: a fault raises ValueError; else it is noted, and reading goes on at the next page."""
+def demux(data: bytes, strict: bool = True, lasting: Callable[[bytes, bytes], int] | None = None) -> Media:
+    """Reads an Ogg file. `lasting` gives the time that a packet takes, from the first packet of its stream and itself. strict: a fault raises ValueError; else it is noted, and reading goes on at the next page."""
     media = Media()
     expected: dict[int, int] = {}
     partial: dict[int, bytearray | None] = {}
     before: dict[int, int] = {}
+    heads: dict[int, bytes] = {}
 
     def fault(what: str) -> None:
         if strict:
@@ -175,11 +180,9 @@ def demux(data: bytes, strict: bool = True) -> Media:
                     ended.append(bytes(held))
                 held = bytearray()
         partial[serial] = held
-        # the page's granule position is that of its last packet; the ones before share the time by size
-        start, total, passed = before.get(serial, 0), sum(map(len, ended)), 0
-        for x in ended:
-            passed += len(x)
-            media.packets.append(Packet(serial, x, start + (granule - start) * passed // total if total else granule, media.pages))
+        if ended:
+            heads.setdefault(serial, ended[0])
+        media.packets += [Packet(serial, x, time, media.pages) for x, time in zip(ended, _times(ended, granule, before.get(serial, 0), heads.get(serial, b""), lasting), strict=True)]
         if ended and granule != _NO_TIME:
             before[serial] = granule
         media.pages += 1
@@ -187,6 +190,23 @@ def demux(data: bytes, strict: bool = True) -> Media:
     return media
 
 
+def _times(packets: list[bytes], granule: int, before: int, head: bytes, lasting: Callable[[bytes, bytes], int] | None) -> list[int]:
+    """The time at the end of each packet of a page: the last has the page's granule position."""
+    if lasting is None:
+        sizes = np.cumsum([len(p) for p in packets], dtype=np.int64).tolist()
+        return [before + (granule - before) * x // sizes[-1] if sizes[-1] else granule for x in sizes]
+    out, time = [], granule
+    for p in reversed(packets):
+        out.append(time)
+        time -= lasting(head, p)
+    return out[::-1]
+
+
+def _lasting(head: bytes, packet: bytes) -> int:
+    """What a packet moves its stream on by: its samples, and those of the other streams meanwhile; the first packet takes no time."""
+    return 0 if packet == head else struct.unpack_from("<IHHQ", head, len(HEAD))[1] * STREAMS
+
+
 def payload(text: str | None) -> bytes:
     data = (text or "").encode()
     return data + b" " * ((max(1, -(-len(data) // UNIT)) * UNIT) - len(data))
@@ -205,19 +225,18 @@ def store(data: bytes) -> bytes:
 
 def load(stored: bytes) -> tuple[bytes, Media]:
     """The payload by reading the file back: the packets of all streams in the order of time."""
-    media = demux(stored)
-    timed = []
-    for serial in media.serials:
-        head, *rest = media.stream(serial)
-        _, unit, index, size = struct.unpack_from("<IHHQ", head.data, len(HEAD))
-        # a stream has every other packet: its granule positions are those after each, STREAMS * unit apart
-        timed += [((index + STREAMS * i + 1) * unit, p) for i, p in enumerate(rest)]
-        if rest and rest[-1].granule != timed[-1][0]:
-            raise ValueError(f"stream {serial} ends at {rest[-1].granule}, its packets at {timed[-1][0]}")
-    timed.sort(key=lambda x: x[0])
-    data = b"".join(p.data for _, p in timed)
-    if media.serials and len(data) != size:
-        raise ValueError(f"{len(data)} samples of {size}")
+    media = demux(stored, lasting=_lasting)
+    heads = {s: media.stream(s)[0].data for s in media.serials}
+    timed = sorted((p for p in media.packets if p.data != heads[p.serial]), key=lambda p: p.granule)
+    at = 0
+    for p in timed:
+        at += len(p.data)
+        if p.granule != at:
+            raise ValueError(f"a packet of stream {p.serial} ends at {p.granule}, where {at} samples were read")
+    data = b"".join(p.data for p in timed)
+    sizes = {struct.unpack_from("<IHHQ", h, len(HEAD))[3] for h in heads.values()}
+    if sizes != {len(data)}:
+        raise ValueError(f"{len(data)} samples of {sizes}")
     return data, media
 
 

@@ -11,7 +11,10 @@ equal surrogates in all texts, and distinct ones of one format get distinct ones
 
 What a permutation can't exclude is checked over the whole table: a surrogate that equals its own
 original or another real entity, or the surrogate of an entity of another format, is made anew with
-the next attempt until none is left. These exceptions are few; they are broadcast up to
+the next attempt until none is left. From attempt `LONGER` on, surnames and e-mail addresses grow by two
+letters with each attempt, so that a shape whose strings are all taken, such as one-letter names, has
+room. Where `ATTEMPTS` don't do (nearly all numbers of a fixed length are real ones), an error is
+raised, as distinctness can't be had. These exceptions are few; they are broadcast up to
 `BROADCAST_ROWS` and joined to the texts beyond.
 
 Defined results: null text stays null, with no entities; empty texts stay empty; overlapping matches
@@ -34,7 +37,10 @@ from pyspark.sql import functions as F
 from . import textvec as tv
 from .common import staged
 
-BROADCAST_ROWS, ATTEMPTS, ROUNDS = 200_000, 16, 8
+BROADCAST_ROWS, ATTEMPTS, LONGER, ROUNDS = 200_000, 64, 6, 8
+
+#: What surnames and addresses grow by, in the script of their first letter.
+_GROWTH = {"LATIN": "na", "CYRILLIC": "на", "GREEK": "να"}
 
 # Given names by script and gender, and titles.
 GIVEN = {
@@ -177,6 +183,9 @@ def surrogate(kind: str, value: str, key: bytes, attempt: int = 0) -> str:
         code = re.match(r"\+\d{1,3}(?=[ .(-])", value)
         area = digits[next((n for n, i in enumerate(digits) if i >= (code.end() if code else 0)), 0)]
         return permuted(value, {*range(code.end() if code else 0), area}, key, tweak)
+    if attempt >= LONGER:
+        more = _GROWTH.get(unicodedata.name(value[0], " ").split(" ")[0], "na") * (attempt - LONGER + 1)
+        value = more + value if kind == "email" else value + more if kind == "surname" else value
     if kind == "email":
         return permuted(value, set(range(value.rindex("."), len(value))), key, tweak)
     return permuted(value, set(), key, tweak)
@@ -232,7 +241,7 @@ def exceptions(found: DataFrame, key: bytes) -> DataFrame:
     family = F.regexp_replace("kind", "_.*", "")  # a given name of either gender is the same word
     real = found.select(family.alias("family"), F.col("value").alias("new")).distinct().withColumn("real", F.lit(True))
     table = staged(found.withColumn("attempt", F.lit(0)).mapInArrow(run, schema), "pii-surrogates")
-    for _ in range(ATTEMPTS):
+    for attempt in range(ATTEMPTS + 1):
         # of several entities with one surrogate the least settled attempt, then the least value, keeps it
         named = table.withColumn("family", family)
         owner = named.groupBy("family", "new").agg(F.count("*").alias("n"), F.min(F.struct("attempt", "kind", "value")).alias("owner"))
@@ -242,13 +251,16 @@ def exceptions(found: DataFrame, key: bytes) -> DataFrame:
         judged = staged(judged.select("kind", "value", "attempt", "new", (taken | lost).alias("bad")), "pii-judged")
         if judged.where("bad").isEmpty():
             break
+        if attempt == ATTEMPTS:
+            left = judged.where("bad").groupBy("kind").count().collect()
+            raise ValueError(f"no distinct surrogates are left for {[tuple(r) for r in left]}")
         again = judged.where("bad").select("kind", "value", (F.col("attempt") + 1).alias("attempt")).mapInArrow(run, schema)
         table = staged(judged.where("not bad").select("kind", "value", "attempt", "new").unionByName(again), "pii-surrogates")
     return table.where("attempt > 0").select("kind", "value", "attempt")
 
 
-def surrogates(docs: DataFrame, key: str = "strataspark", id_col: str = "doc_id", text_col: str = "text", broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Per row: id, n_entities, kinds (a sorted list, one for each entity) and the text with surrogates."""
+def surrogates(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: str = "text", broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """Per row: id, n_entities, kinds (a sorted list, one for each entity) and the text with surrogates. Who knows `key` can undo them."""
     secret = key.encode()
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     odd = staged(exceptions(staged(entities(source), "pii-entities"), secret), "pii-exceptions")

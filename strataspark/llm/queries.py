@@ -21,7 +21,7 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.surrogates(read(spark, sf_dir, "documents"))
+    return pii.surrogates(read(spark, sf_dir, "documents"), key="synthetic tables only")
 
 
 def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

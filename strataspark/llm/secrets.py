@@ -19,6 +19,7 @@ import hashlib
 import re
 import string
 import uuid
+from bisect import bisect
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
@@ -70,11 +71,12 @@ def candidates(text: str | None, path: str | None) -> list[Candidate]:
     if "=" in text or ":" in text:
         found += [(1, m.start("value"), m.end("value"), "assigned") for m in _ASSIGNED.finditer(text)]
     found += [(2, m.start(), m.end(), "mixed") for m in _MIXED.finditer(text)]
-    taken: list[tuple[int, int, str]] = []
+    taken: list[tuple[int, int, str]] = []  # in order, without overlaps
     for _, start, end, kind in sorted(found):
-        if all(end <= a or start >= b for a, b, _ in taken):
-            taken.append((start, end, kind))
-    return [Candidate(a, b, k, text[a:b], path or "", text[max(0, a - 60) : a], text[b : b + 40]) for a, b, k in sorted(taken)]
+        at = bisect(taken, (start,))
+        if (at == 0 or taken[at - 1][1] <= start) and (at == len(taken) or end <= taken[at][0]):
+            taken.insert(at, (start, end, kind))
+    return [Candidate(a, b, k, text[a:b], path or "", text[max(0, a - 60) : a], text[b : b + 40]) for a, b, k in taken]
 
 
 def _transitions() -> np.ndarray:

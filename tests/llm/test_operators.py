@@ -50,7 +50,7 @@ OPERATORS = {
     "op1_accepted": lambda d: toxicity.accepted(d, d.sparkSession.createDataFrame(LABELS, "doc_id long, toxic int")),
     "op2": linededup.line_dedup,
     "op2_all": linededup.deduplicated,
-    "op3": pii.surrogates,
+    "op3": lambda d: pii.surrogates(d, "k"),
     "op4": setsketch.near_duplicates,
     "op5": ogg.media_columns,
     "op6": secrets.scan,
@@ -165,7 +165,7 @@ def test_surrogates_are_distinct_consistent_and_leave_nothing():
 def test_surrogates_over_a_table_are_one_to_one(spark):
     rows = [(i, f"call +1 (700) 555-{i:04d} or write to ab.{i % 100}@m.org, Mr. {'ABCDEFGH'[i % 8]}o") for i in range(300)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    few, many = (pii.surrogates(df, broadcast_rows=n).orderBy("doc_id").collect() for n in (1000, -1))
+    few, many = (pii.surrogates(df, "k", broadcast_rows=n).orderBy("doc_id").collect() for n in (1000, -1))
     assert few == many
     maps = collections.defaultdict(set)
     for (_, old), new in zip(rows, few, strict=True):
@@ -178,6 +178,14 @@ def test_surrogates_over_a_table_are_one_to_one(spark):
     assert not {(k, v) for k, v in maps} & set(back)
 
 
+def test_crowded_names_stay_distinct(spark):
+    """All one-letter surnames of a script are real: their surrogates must still differ from them and from each other."""
+    names = [chr(c) for c in range(65, 91)] + [chr(c) + "o" for c in range(65, 91)]
+    df = spark.createDataFrame([(i, f"Dr. {n} came.") for i, n in enumerate(names)], "doc_id long, text string")
+    new = {r.doc_id: r.text.split()[1] for r in pii.surrogates(df, "k").collect()}
+    assert len(set(new.values())) == len(names) and not set(new.values()) & set(names)
+
+
 def groups_by_hand(texts, k, percent):
     sets = []
     for t in texts:
@@ -239,6 +247,24 @@ def test_ogg_round_trip_and_faults():
         ogg.demux(stored[:500] + b"!" + stored[501:])
     assert ogg.demux(stored[:500] + b"!" + stored[501:], strict=False).errors
 
+    text = "".join(random.Random(2).choices("abc é\n", k=70_000))
+    read, media = ogg.load(ogg.store(ogg.payload(text)))
+    for serial in media.serials:  # every packet's own time is derived, also on first pages and where a page begins inside a packet
+        head, *rest = media.stream(serial)
+        first = rest[0].granule
+        assert (head.granule, first in (192, 384), len(rest) > 100) == (0, True, True)
+        assert [p.granule for p in rest] == list(range(first, first + 384 * len(rest), 384))
+        assert all(read[p.granule - 192 : p.granule] == p.data for p in rest)
+    # the payload's order comes from the pages' times: a page whose time is moved, with a right checksum, is noticed
+    stored = ogg.store(ogg.payload(text))
+    at = stored.index(b"OggS", stored.index(b"OggS", len(stored) // 2) + 1)
+    end = stored.index(b"OggS", at + 1)
+    moved = stored[at : at + 6] + (int.from_bytes(stored[at + 6 : at + 14], "little") + 384).to_bytes(8, "little") + stored[at + 14 : end]
+    moved = moved[:22] + b"\0\0\0\0" + moved[26:]
+    moved = moved[:22] + ogg.checksum(moved).to_bytes(4, "little") + moved[26:]
+    with pytest.raises(ValueError, match="samples"):
+        ogg.load(stored[:at] + moved + stored[end:])
+
     def slow(data):
         c = 0
         for x in data:
@@ -250,6 +276,22 @@ def test_ogg_round_trip_and_faults():
     assert all(slow(x) == ogg.checksum(x) for x in (b"", b"a", bytes(range(256))))
 
 
+def test_media_columns_equal_sql(docs, sf_dir):
+    """The sizes and hashes of the payload, worked out by DuckDB."""
+    raw = "encode(coalesce(text, ''))"
+    full = f"{raw} || encode(repeat(' ', (greatest(1, ceil(octet_length({raw}) / 192.0)) * 192 - octet_length({raw}))::int))"
+    want = duckdb.sql(f"SELECT doc_id, octet_length({raw}), octet_length(p), sha256(p) FROM (SELECT *, {full} AS p FROM '{sf_dir}/documents.parquet')").fetchall()
+    got = ogg.media_columns(docs, with_media=False).collect()
+    assert sorted((r.doc_id, r.n_bytes, r.payload_bytes, r.payload_sha256) for r in got) == sorted(want)
+    tails = {r.doc_id: zlib.crc32(ogg.payload(r.text)[-16:]) for r in docs.collect()}
+    assert {r.doc_id: r.tail_crc32 for r in got} == tails
+
+
+def test_many_candidates_do_not_slow_the_search():
+    found = secrets.candidates(" ".join(f"key{i}=abcdefgh{i:06d}" for i in range(60_000)), None)
+    assert len(found) == 60_000 and all(a.end <= b.start for a, b in itertools.pairwise(found))
+
+
 def test_forest_tells_secrets_on_unseen_findings():
     findings = secrets.labelled_findings()
     forest = secrets.train(findings[:2400])
