@@ -31,15 +31,22 @@ def register(views: str, sql: str | None) -> Callable[[Callable[..., DataFrame]]
     return add
 
 
+def _load() -> None:
+    """The other catalogues register their queries when they are imported."""
+    from . import catalogue_geometry, catalogue_maps  # noqa: F401
+
+
 def queries() -> dict[str, Query]:
     from . import modelling
 
+    _load()
     return _queries | modelling.queries()
 
 
 def oracle_sql() -> dict[str, str]:
     from . import modelling
 
+    _load()
     return _sql | {"folded_foliation": with_views("obs_points", modelling.FOLD_SQL)}
 
 

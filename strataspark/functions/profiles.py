@@ -80,18 +80,27 @@ def ellipse(p: Column, min_p: Column, max_p: Column, min_s: Column, max_s: Colum
     return s, -s
 
 
+#: By how much the base of an intrusion's cone is wider than its observed range.
+CONE_MARGIN = 1.5
+
+
 def oblique_cone(p: Column, s: Column, p_range: tuple[float, float], s_range: tuple[float, float], vertex: tuple[float, float, float]) -> tuple[Column, Column]:
-    """The two heights of an oblique cone over an ellipse; vertex is (p, s, height)."""
-    (p0, p1), (s0, s1) = ((1.5 * lo, 1.5 * hi) for lo, hi in (p_range, s_range))
-    a2, b2 = ((p1 - p0) / 2.0) ** 2, ((s1 - s0) / 2.0) ** 2
-    vp, vs, h = vertex
-    dp, ds = vp - (p0 + p1) / 2.0, vs - (s0 + s1) / 2.0
-    q, r = (p - vp) * h, (s - vs) * h
-    f = dp * dp * b2 + ds * ds * a2 - a2 * b2
-    g = (q * (dp * b2) + r * (ds * a2)) * 2.0
-    lead, linear, rest = f, F.lit(-2.0 * f * h) - g, F.lit(f * h * h) + g * h + (q * q) * b2 + (r * r) * a2
-    root = F.sqrt(F.greatest(linear * linear - rest * (4.0 * lead), F.lit(0.0)))
-    return -(linear + root) / (2.0 * lead), -(linear - root) / (2.0 * lead)
+    """The two heights at which the vertical through (p, s) meets an oblique double cone.
+
+    The base is an ellipse at height 0 over the ranges, widened by CONE_MARGIN; `vertex` is (p, s, height).
+    The line from the vertex to a point at height z meets the base plane at vertex + (point - vertex) / m
+    with m = 1 - z / height. That this place is on the ellipse is a quadratic equation in m.
+    """
+    (low_p, high_p), (low_s, high_s) = p_range, s_range
+    axis_p, axis_s = CONE_MARGIN * (high_p - low_p) / 2.0, CONE_MARGIN * (high_s - low_s) / 2.0
+    top_p, top_s, height = vertex
+    # in units of the half axes: the vertex from the centre, and the point from the vertex
+    away = ((top_p - CONE_MARGIN * (low_p + high_p) / 2.0) / axis_p, (top_s - CONE_MARGIN * (low_s + high_s) / 2.0) / axis_s)
+    to = ((p - F.lit(top_p)) / axis_p, (s - F.lit(top_s)) / axis_s)
+    outside = away[0] ** 2 + away[1] ** 2 - 1.0
+    slant = to[0] * away[0] + to[1] * away[1]
+    spread = F.sqrt(F.greatest(slant * slant - (to[0] * to[0] + to[1] * to[1]) * outside, F.lit(0.0)))
+    return tuple(height * (1.0 - (sign * spread - slant) / outside) for sign in (1.0, -1.0))
 
 
 # Mean and deviation of exponent and factor of thickness against length.

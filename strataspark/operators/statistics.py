@@ -75,3 +75,29 @@ def normalised(df: DataFrame, value: str, *by: str) -> DataFrame:
     else:
         both = df.join(df.groupBy(*by).agg(F.min(value).alias("__lo"), F.max(value).alias("__hi")), list(by))
     return both.withColumn("normalised", (F.col(value) - F.col("__lo")) / F.nullif(F.col("__hi") - F.col("__lo"), F.lit(0.0))).drop("__lo", "__hi")
+
+
+def lags(samples: DataFrame, position: str, most: int = 200) -> DataFrame:
+    """One row: step and number of steps of a variogram.
+
+    The nearest other position of a sample is one of the two next distinct positions, so distinct
+    positions are sorted once; no pairs are made.
+    """
+    distinct = samples.groupBy(F.col(position).alias("x")).agg(F.count("*").alias("n"))
+    order = W.orderBy("x")
+    gap = F.least(F.col("x") - F.lag("x").over(order), F.lead("x").over(order) - F.col("x"))
+    sums = distinct.withColumn("gap", gap).agg(F.sum(F.col("n") * F.col("gap")).alias("g"), F.sum("n").alias("n"), (F.max("x") - F.min("x")).alias("range"))
+    steps = sums.select((F.col("g") / F.col("n") * 4.0).alias("step"), "range").withColumn("steps", F.ceil(F.col("range") / F.col("step")))
+    return steps.select(F.when(F.col("steps") > most, F.col("step") * F.col("steps") / most).otherwise(F.col("step")).alias("step"), F.least("steps", F.lit(most)).cast("bigint").alias("steps"))
+
+
+def wavelength(series: DataFrame, x: str, y: str, least: float = 10.0, share: float = 0.7) -> DataFrame:
+    """One row: the first turning point above `least` whose neighbours among the turning points are below `share` of it, else twice the range."""
+    order = W.orderBy(x)  # a series has as many rows as a variogram has lags
+    turn = series.withColumns({"a_": F.lag(y).over(order), "c_": F.lead(y).over(order)})
+    v, a, c = F.col(y), F.col("a_"), F.col("c_")
+    turn = turn.where(((v > a) & (v > c)) | ((v < a) & (v < c)))
+    peaks = turn.withColumns({"a_": F.lag(y).over(order), "c_": F.lead(y).over(order)})
+    found = peaks.where((v > least) & (a < v * share) & (c < v * share)).agg(F.min(x).alias("first"))
+    whole = series.agg((2 * (F.max(x) - F.min(x))).alias("twice"))
+    return found.crossJoin(whole).select((F.coalesce("first", "twice") + F.lit(0.0)).alias("wavelength"))

@@ -12,6 +12,9 @@ VIEWS = {
     "unit_contacts": (("orders", "customer", "lineitem", "supplier", "nation"), "SELECT least(a.n_name,b.n_name) AS unit1, greatest(a.n_name,b.n_name) AS unit2, count(*) AS length FROM orders o JOIN customer c ON o.o_custkey=c.c_custkey JOIN lineitem l ON l.l_orderkey=o.o_orderkey JOIN supplier s ON s.s_suppkey=l.l_suppkey JOIN nation a ON a.n_nationkey=c.c_nationkey JOIN nation b ON b.n_nationkey=s.s_nationkey WHERE a.n_nationkey<>b.n_nationkey GROUP BY least(a.n_name,b.n_name), greatest(a.n_name,b.n_name)"),
     "trace_vertices": (("orders",), "SELECT o_custkey AS trace_id, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS BIGINT) AS seq, CAST(o_orderkey % 1000 AS DOUBLE) AS X, o_totalprice/1000.0 AS Y FROM orders"),
     "log_records": (("events",), "SELECT event_id AS id, ts, user_id AS run_id, event_type AS stage, value AS duration_s FROM events"),
+    "fault_lines": (("supplier",), "SELECT s_suppkey + 1 AS id, s_name AS name, (s_suppkey * 37) % 1000 + 0.0 AS ax, (s_suppkey * 61) % 1000 + 0.0 AS ay, (s_suppkey * 37) % 1000 + (s_suppkey * 13) % 60 - 30.5 AS bx, (s_suppkey * 61) % 1000 + (s_suppkey * 29) % 70 - 35.5 AS by_, s_nationkey AS system, CASE WHEN s_acctbal > 0 THEN s_acctbal ELSE -1.0 END AS displacement FROM supplier"),
+    "map_units": (("nation",), "SELECT n_name AS unit, n_nationkey AS rank, (n_nationkey % 5) * 200.0 AS x0, CAST(floor(n_nationkey / 5) AS INT) * 200.0 AS y0, (n_nationkey % 5) * 200.0 + 200.0 AS x1, CAST(floor(n_nationkey / 5) AS INT) * 200.0 + 200.0 AS y1, n_nationkey % 7 = 3 AS intrusive FROM nation"),
+    "contacts": (("lineitem", "nation"), "SELECT l_orderkey*10 + l_linenumber AS cid, l_quantity + 0.0 AS X, l_extendedprice/2000.0 AS Y, l_discount*500.0 + 0.0 AS Z, n_name AS name FROM lineitem JOIN nation ON n_nationkey = l_suppkey % 25"),
     "map_text": (("documents", "labels"), "SELECT d.doc_id AS ID, d.source AS unit, d.text AS description, q.quality, q.toxic FROM documents d LEFT JOIN labels q ON q.doc_id=d.doc_id"),
 }
 
