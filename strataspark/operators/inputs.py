@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -63,7 +63,7 @@ class MapInput:
         return self._vectors(self.fault_orientations.withColumnRenamed("name", "feature_name"), F.lit(1.0)).withColumn("coord", F.lit(0))
 
     @staticmethod
-    def _vectors(df: DataFrame, size: F.Column) -> DataFrame:
+    def _vectors(df: DataFrame, size: Column) -> DataFrame:
         normal = angles.strike_dip_normal("strike", "dip")
         drop = [c for c in ("strike", "dip", "polarity", "name") if c in df.columns]
         return df.withColumns({n: c * size for n, c in zip(VECTOR, normal, strict=True)}).drop(*drop)
