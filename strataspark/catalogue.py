@@ -33,7 +33,7 @@ def register(views: str, sql: str | None) -> Callable[[Callable[..., DataFrame]]
 
 def _load() -> None:
     """The other catalogues register their queries when they are imported."""
-    from . import catalogue_fields, catalogue_geometry, catalogue_maps  # noqa: F401
+    from . import catalogue_fields, catalogue_files, catalogue_geometry, catalogue_maps  # noqa: F401
 
 
 def queries() -> dict[str, Query]:
