@@ -2,11 +2,12 @@
 
 Words are runs of characters that are no ASCII punctuation, control or space, after A-Z became a-z.
 A window is ten consecutive words of an item, or the whole of a shorter item. Windows are sets of
-word shingles (three words, or the whole window if it is shorter) at positions. Of a window that
-must be contained whole, one shingle is the necessary prefix: the rarest one by its count over all
-documents. Documents join the prefix shingles; each match fixes where the window would start, the
-start and the end must lie within the document (length and position bounds), and the window counts
-only if every one of its shingles occurs at its own place, compared word by word.
+word shingles (three words, or the whole window if it is shorter) at positions. A first pass counts
+the benchmark's shingles over all documents; of each window, which must be contained whole, the rarest
+one is the necessary prefix, and a window with a shingle that no document has drops out. A second pass
+joins the documents with prefix shingles only; each match fixes where the window would start, and the
+start and the end must lie within the document (length and position bounds). The third reads the
+documents that still have a candidate and compares the whole window with their words, word by word.
 
 Defined results: null and empty texts have no words and are clean; an item without words has no
 window; equal items are both reported; rows that share an id are judged one by one, and give one
@@ -24,6 +25,7 @@ from .common import staged
 WINDOW, SHINGLE = 10, 3
 #: Benchmark shingles up to which they are broadcast; beyond, Spark shuffles both sides.
 BROADCAST_ROWS = 500_000
+NAMES = ("w1", "w2", "w3")
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -51,59 +53,62 @@ def _window_shingles(items: DataFrame) -> DataFrame:
 def scan(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """Per row of `docs`: id, n_words, n_hit, n_items, items_sha256, contaminated and the sorted list of items."""
     items = staged(_windows(benchmark, item_col, item_text), "leak-windows")
-    shingles = staged(_window_shingles(items), "leak-shingles")
-    distinct = shingles.select("w1", "w2", "w3").distinct().withColumn("sid", F.concat_ws(" ", "w1", "w2", "w3"))
+    shingles = staged(_window_shingles(items), "leak-shingles").withColumn("sid", F.concat_ws(" ", *NAMES))
     # shorter windows need shorter shingles of the documents; most benchmarks have none
     short = [n for (n,) in shingles.where(F.col("length") < SHINGLE).select("length").distinct().collect()]
-    marker = distinct.sparkSession.range(1).select(F.lit("").alias("w1"), F.lit("").alias("w2"), F.lit("").alias("w3"), F.lit("").alias("sid"))
-    names = ("w1", "w2", "w3")
-    filled = distinct.unionByName(marker).select("sid", *[F.coalesce(c, F.lit("")).alias(c) for c in names])
-    known = filled.select("sid", F.xxhash64(*names).alias("h"), F.concat_ws("\n", *names).alias("key"))
-    if known.count() <= BROADCAST_ROWS:
-        known = F.broadcast(known)
-
-    # one pass over the texts: every position whose shingle the benchmark has, and one marker row with the number of words
-    each = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), words(F.col(text_col)).alias("w"))
+    texts = staged(docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")), "leak-texts")
+
+    counts = _met(texts, _known(shingles.select("sid", *NAMES).distinct()), short).groupBy("sid").agg(F.count("*").alias("count"))
+    rarity = shingles.join(counts, "sid", "left").groupBy("wid").agg(F.min(F.struct(F.coalesce("count", F.lit(0)).alias("count"), "sid", "offset", *NAMES)).alias("rare"), F.first("length").alias("length"))
+    prefix = staged(rarity.where("rare.count > 0").select("wid", "length", "rare.*").drop("count"), "leak-prefixes")
+
+    found = _met(texts, _known(prefix), short).withColumn("start", F.col("pos") - F.col("offset"))
+    found = found.where((F.col("start") >= 0) & (F.col("start") + F.col("length") <= F.col("n"))).select("row", "start", "wid")
+    windows = items.select("window").distinct().withColumn("wid", F.md5(F.array_join("window", " ")))
+    # a document has at most as many candidates as it has words times the windows that share a shingle
+    candidates = found.join(windows, "wid").groupBy("row").agg(F.collect_list(F.struct("start", "wid", "window")).alias("c"))
+    holds = lambda c: F.slice("w", c["start"] + 1, F.size(c["window"])) == c["window"]
+    read_again = texts.join(candidates, "row").select("row", words(F.col("text")).alias("w"), "c")
+    hits = staged(read_again.select("row", F.transform(F.filter("c", holds), lambda c: F.struct(c["start"].alias("start"), c["wid"].alias("wid"), F.size(c["window"]).alias("length"))).alias("c")).where(F.size("c") > 0), "leak-hits")
+
+    at = F.flatten(F.transform("c", lambda c: F.sequence(c["start"], c["start"] + c["length"] - 1)))
+    n_hit = hits.select("row", F.size(F.array_distinct(at)).alias("n_hit"))
+    owners = items.select("item", F.md5(F.array_join("window", " ")).alias("wid")).distinct()
+    each = hits.select("row", F.explode(F.array_distinct(F.transform("c", lambda c: c["wid"]))).alias("wid"))
+    owned = each.join(owners, "wid").groupBy("row").agg(F.sort_array(F.collect_set("item")).alias("items"))
+    out = texts.select("row", "id", F.size(words(F.col("text"))).cast("bigint").alias("n_words")).join(n_hit, "row", "left").join(owned, "row", "left")
+    none = F.array().cast("array<string>")
+    out = out.select(F.col("id").alias(id_col), "n_words", F.coalesce("n_hit", F.lit(0)).cast("bigint").alias("n_hit"), F.coalesce("items", none).alias("items"))
+    return out.select(id_col, "n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"), "items")
+
+
+def _known(shingles: DataFrame) -> DataFrame:
+    """Shingles with the number that they are joined by and the words that are compared; broadcast up to BROADCAST_ROWS."""
+    filled = shingles.withColumns({c: F.coalesce(c, F.lit("")) for c in NAMES})
+    known = filled.withColumns({"h": F.xxhash64(*NAMES), "key": F.concat_ws("\n", *NAMES)}).drop(*NAMES)
+    return F.broadcast(known) if known.count() <= BROADCAST_ROWS else known
+
+
+def _met(texts: DataFrame, known: DataFrame, short: list[int]) -> DataFrame:
+    """row, n (words of the text), pos and the columns of `known` for each place of a text that begins a known shingle."""
     blank = F.lit("")
     shifted = [F.slice("w", j + 1, F.greatest(F.size("w"), F.lit(1))) for j in range(SHINGLE)]
     rows = F.arrays_zip(*shifted).cast("array<struct<w1:string,w2:string,w3:string>>")
-    head = F.array(F.struct(*[blank.alias(c) for c in names]))
-    spread = each.select("row", "id", F.size("w").alias("n"), F.posexplode(F.concat(head, rows)).alias("pos", "s"))
-    spread = spread.select("row", "id", "n", (F.col("pos") - 1).alias("pos"), *[F.coalesce(F.col(f"s.{c}"), blank).alias(c) for c in names])
+    spread = texts.select("row", words(F.col("text")).alias("w")).select("row", F.size("w").alias("n"), F.posexplode(rows).alias("pos", "s"))
+    spread = spread.select("row", "n", "pos", *[F.coalesce(F.col(f"s.{c}"), blank).alias(c) for c in NAMES])
 
     def met(some: DataFrame) -> DataFrame:
         """Joined on one number; the words themselves are compared where it matches."""
-        keyed = some.select("row", "id", "n", "pos", F.xxhash64(*names).alias("h"), *names)
-        same = F.array_contains(F.array("key"), F.concat_ws("\n", *names))  # written so that it isn't taken as a join key
-        return keyed.join(known, "h").where(same).select("row", "id", "n", "pos", "sid")
+        keyed = some.select("row", "n", "pos", F.xxhash64(*NAMES).alias("h"), *NAMES)
+        same = F.array_contains(F.array("key"), F.concat_ws("\n", *NAMES))  # written so that it isn't taken as a join key
+        return keyed.join(known, "h").where(same).drop("h", "key", *NAMES)
 
-    matched = met(spread)
+    out = met(spread)
     for size in short:  # a shingle of one or two words, before the last place, where it was met above
-        cut = [F.col(c) if j < size else blank for j, c in enumerate(names)]
-        inner = spread.where((F.col("pos") >= 0) & (F.col("n") - F.col("pos") > size))
-        matched = matched.unionByName(met(inner.select("row", "id", "n", "pos", *[x.alias(c) for x, c in zip(cut, names, strict=True)])))
-    found = staged(matched.select("row", F.when(F.col("pos") < 0, F.col("id")).alias("id"), F.col("n").cast("bigint").alias("n"), "pos", "sid"), "leak-matches")
-
-    places = found.where("pos >= 0").select("row", "n", "pos", "sid")
-    counts = places.groupBy("sid").agg(F.count("*").alias("count"))
-    named = shingles.withColumn("sid", F.concat_ws(" ", "w1", "w2", "w3")).drop("w1", "w2", "w3")
-    # a window with a shingle that no document has drops out here: its rarest count is nought
-    rarity = named.join(counts, "sid", "left").groupBy("wid").agg(F.min(F.struct(F.coalesce("count", F.lit(0)).alias("count"), "sid", "offset")).alias("rare"), F.first("length").alias("length"), F.first("needed").alias("needed"))
-    prefix = staged(rarity.where("rare.count > 0").select("wid", "length", "needed", F.col("rare.sid").alias("sid"), F.col("rare.offset").alias("offset")), "leak-prefixes")
-    candidates = places.join(prefix, "sid").select("row", "n", (F.col("pos") - F.col("offset")).alias("start"), "wid", "length", "needed")
-    candidates = candidates.where((F.col("start") >= 0) & (F.col("start") + F.col("length") <= F.col("n")))
-    wanted = candidates.join(named.select("wid", "offset", "sid"), "wid").select("row", "start", "wid", "length", "needed", (F.col("start") + F.col("offset")).alias("pos"), "sid")
-    held = wanted.join(places.select("row", "pos", "sid").distinct(), ["row", "pos", "sid"])
-    hits = staged(held.groupBy("row", "start", "wid").agg(F.count("*").alias("had"), F.first("needed").alias("needed"), F.first("length").alias("length")).where("had = needed").select("row", "start", "wid", "length"), "leak-hits")
-
-    places_hit = hits.select("row", F.explode(F.sequence(F.col("start"), F.col("start") + F.col("length") - 1)).alias("at")).distinct().groupBy("row").agg(F.count("*").alias("n_hit"))
-    owners = items.select("item", F.md5(F.array_join("window", " ")).alias("wid")).distinct()
-    in_rows = hits.select("row", "wid").distinct().join(owners, "wid").select("row", "item").distinct().groupBy("row").agg(F.sort_array(F.collect_list("item")).alias("items"))
-    whole = found.where("pos < 0").select("row", "id", F.col("n").alias("n_words"))
-    out = whole.join(places_hit, "row", "left").join(in_rows, "row", "left")
-    none = F.array().cast("array<string>")
-    out = out.select(F.col("id").alias(id_col), "n_words", F.coalesce("n_hit", F.lit(0)).cast("bigint").alias("n_hit"), F.coalesce("items", none).alias("items"))
-    return out.select(id_col, "n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"), "items")
+        cut = [F.col(c) if j < size else blank for j, c in enumerate(NAMES)]
+        inner = spread.where(F.col("n") - F.col("pos") > size)
+        out = out.unionByName(met(inner.select("row", "n", "pos", *[x.alias(c) for x, c in zip(cut, NAMES, strict=True)])))
+    return out
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
