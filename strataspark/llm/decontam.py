@@ -2,8 +2,8 @@
 
 Words are runs of characters that are no ASCII punctuation, control or space, after A-Z became a-z.
 A window is ten consecutive words of an item, or the whole of a shorter item. Windows are sets of
-word shingles (three words, or the whole window if it is shorter) at positions. A first pass counts
-the benchmark's shingles over all documents; of each window, which must be contained whole, the rarest
+word shingles (three words, or the whole window if it is shorter) at positions. Texts are split into words
+once and written; a first pass counts the benchmark's shingles over all documents; of each window, which must be contained whole, the rarest
 one is the necessary prefix, and a window with a shingle that no document has drops out. A second pass
 joins the documents with prefix shingles only; each match fixes where the window would start, and the
 start and the end must lie within the document (length and position bounds). The third reads the
@@ -56,7 +56,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
     shingles = staged(_window_shingles(items), "leak-shingles").withColumn("sid", F.concat_ws(" ", *NAMES))
     # shorter windows need shorter shingles of the documents; most benchmarks have none
     short = [n for (n,) in shingles.where(F.col("length") < SHINGLE).select("length").distinct().collect()]
-    texts = staged(docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")), "leak-texts")
+    texts = staged(docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), words(F.col(text_col).cast("string")).alias("w")).withColumn("n", F.size("w")), "leak-texts")
 
     counts = _met(texts, _known(shingles.select("sid", *NAMES).distinct()), short).groupBy("sid").agg(F.count("*").alias("count"))
     rarity = shingles.join(counts, "sid", "left").groupBy("wid").agg(F.min(F.struct(F.coalesce("count", F.lit(0)).alias("count"), "sid", "offset", *NAMES)).alias("rare"), F.first("length").alias("length"))
@@ -68,15 +68,14 @@ def scan(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
     # a document has at most as many candidates as it has words times the windows that share a shingle
     candidates = found.join(windows, "wid").groupBy("row").agg(F.collect_list(F.struct("start", "wid", "window")).alias("c"))
     holds = lambda c: F.slice("w", c["start"] + 1, F.size(c["window"])) == c["window"]
-    read_again = texts.join(candidates, "row").select("row", words(F.col("text")).alias("w"), "c")
-    hits = staged(read_again.select("row", F.transform(F.filter("c", holds), lambda c: F.struct(c["start"].alias("start"), c["wid"].alias("wid"), F.size(c["window"]).alias("length"))).alias("c")).where(F.size("c") > 0), "leak-hits")
+    hits = staged(texts.select("row", "w").join(candidates, "row").select("row", F.transform(F.filter("c", holds), lambda c: F.struct(c["start"].alias("start"), c["wid"].alias("wid"), F.size(c["window"]).alias("length"))).alias("c")).where(F.size("c") > 0), "leak-hits")
 
     at = F.flatten(F.transform("c", lambda c: F.sequence(c["start"], c["start"] + c["length"] - 1)))
     n_hit = hits.select("row", F.size(F.array_distinct(at)).alias("n_hit"))
     owners = items.select("item", F.md5(F.array_join("window", " ")).alias("wid")).distinct()
     each = hits.select("row", F.explode(F.array_distinct(F.transform("c", lambda c: c["wid"]))).alias("wid"))
     owned = each.join(owners, "wid").groupBy("row").agg(F.sort_array(F.collect_set("item")).alias("items"))
-    out = texts.select("row", "id", F.size(words(F.col("text"))).cast("bigint").alias("n_words")).join(n_hit, "row", "left").join(owned, "row", "left")
+    out = texts.select("row", "id", F.col("n").cast("bigint").alias("n_words")).join(n_hit, "row", "left").join(owned, "row", "left")
     none = F.array().cast("array<string>")
     out = out.select(F.col("id").alias(id_col), "n_words", F.coalesce("n_hit", F.lit(0)).cast("bigint").alias("n_hit"), F.coalesce("items", none).alias("items"))
     return out.select(id_col, "n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"), "items")
@@ -94,7 +93,7 @@ def _met(texts: DataFrame, known: DataFrame, short: list[int]) -> DataFrame:
     blank = F.lit("")
     shifted = [F.slice("w", j + 1, F.greatest(F.size("w"), F.lit(1))) for j in range(SHINGLE)]
     rows = F.arrays_zip(*shifted).cast("array<struct<w1:string,w2:string,w3:string>>")
-    spread = texts.select("row", words(F.col("text")).alias("w")).select("row", F.size("w").alias("n"), F.posexplode(rows).alias("pos", "s"))
+    spread = texts.select("row", "n", F.posexplode(rows).alias("pos", "s"))
     spread = spread.select("row", "n", "pos", *[F.coalesce(F.col(f"s.{c}"), blank).alias(c) for c in NAMES])
 
     def met(some: DataFrame) -> DataFrame:
