@@ -46,16 +46,25 @@ def fault_radii(vertices: DataFrame, name: str, x: str = "X", y: str = "Y") -> D
 def semivariogram(samples: DataFrame, position: str, value: str, step: float, lags: int, key: str) -> DataFrame:
     """Per lag i * step, i < lags: pairs whose distance lies within half a step of it, and their mean squared difference.
 
-    Samples meet by slices of the largest distance, so the join grows with the pairs in range, not with all pairs.
+    Samples at one place become one row of their number, mean and sum of squares about it, from which the
+    squared differences of two places' samples follow: a * b * (difference of means)^2 + b * Qa + a * Qb.
+    Places meet by slices of the largest distance, so the join grows with the places in range, whatever
+    the number of samples at each. A null place or value is in no pair.
     """
     reach = step * (lags - 0.5)
-    a = samples.select(F.col(key).alias("ka"), F.col(position).alias("xa"), F.col(value).alias("va"), F.floor(F.col(position) / reach).alias("s"))
-    b = samples.select(F.col(key).alias("kb"), F.col(position).alias("xb"), F.col(value).alias("vb"), F.explode(F.array(*[F.floor(F.col(position) / reach) + d for d in (-1, 0, 1)])).alias("s"))
+    known = samples.where(F.col(position).isNotNull() & F.col(value).isNotNull())
+    places = known.groupBy(F.col(position).alias("x")).agg(F.count("*").alias("n"), F.avg(value).alias("m"), (F.var_pop(value) * F.count("*")).alias("q"))
+    a, b = (places.select(*[F.col(c).alias(f"{c}{side}") for c in "xnmq"]) for side in "ab")
+    a = a.withColumn("s", F.floor(F.col("xa") / reach))
+    b = b.withColumn("s", F.explode(F.array(*[F.floor(F.col("xb") / reach) + d for d in (-1, 0, 1)])))
     d = F.abs(F.col("xa") - F.col("xb"))
-    pairs = a.join(b, "s").where(d < reach).select(((F.col("va") - F.col("vb")) * (F.col("va") - F.col("vb"))).alias("q"), d.alias("d"))
+    apart = F.col("ma") - F.col("mb")
+    squares = F.col("na") * F.col("nb") * apart * apart + F.col("nb") * F.col("qa") + F.col("na") * F.col("qb")
+    pairs = a.join(b, "s").where(d < reach).select(d.alias("d"), (F.col("na") * F.col("nb")).alias("n"), squares.alias("q"))
     lag = F.floor(F.col("d") / step + 0.5)
     half = F.col("d") == (lag - 0.5) * step  # the bins are open: a distance on a border is in none
-    return pairs.where(~half).groupBy(lag.cast("bigint").alias("lag")).agg(F.count("*").alias("n_pairs"), F.avg("q").alias("gamma")).where(F.col("lag") < lags)
+    got = pairs.where(~half).groupBy(lag.cast("bigint").alias("lag")).agg(F.sum("n").alias("n_pairs"), F.sum("q").alias("q")).where(F.col("lag") < lags)
+    return got.select("lag", "n_pairs", (F.col("q") / F.col("n_pairs")).alias("gamma"))
 
 
 def turning_points(series: DataFrame, x: str, y: str, *by: str) -> DataFrame:
