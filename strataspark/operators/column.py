@@ -33,8 +33,15 @@ def classify(value: Column, column: list[tuple[int, str, float, float]], unknown
     return number, case_of(value, [(lo, hi, name) for _, name, lo, hi in column])
 
 
+#: Units that a column read on the driver may have; a field's values lie in tens of them.
+MOST_UNITS = 10_000
+
+
 def small(column: DataFrame, group: int | None = None) -> list[tuple[int, str, float, float]]:
-    """The rows for `classify`, read on the driver: a column has one row per unit."""
+    """The rows for `classify`, read on the driver: a column has one row per unit, and one of more than MOST_UNITS raises."""
     rows = ids(extents(column))
     rows = rows if group is None else rows.where(F.col("grp") == group)
-    return [(r.unit_id, r.unit, r.vmin, r.vmax) for r in rows.orderBy("unit_id").collect()]
+    units = rows.orderBy("unit_id").limit(MOST_UNITS + 1).collect()
+    if len(units) > MOST_UNITS:
+        raise ValueError(f"a stratigraphic column of more than {MOST_UNITS} units: join its extents by band_join")
+    return [(r.unit_id, r.unit, r.vmin, r.vmax) for r in units]

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections import deque
 from collections.abc import Iterable
 
@@ -10,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..sources.shared import staged
+
 
 def with_ids(pairs: DataFrame, names: DataFrame, left: str, right: str, name: str, number: str) -> DataFrame:
     """Pairs of names with the ids of both."""
@@ -45,16 +46,15 @@ def by_age(units: DataFrame, low: str, high: str, group: str, name: str) -> Data
 
 
 def closure(edges: DataFrame, a: str, b: str, most: int = 64) -> DataFrame:
-    """All (a, b) that a path joins, by repeated joins until no pair is new."""
-    reach = edges.select(F.col(a).alias("a"), F.col(b).alias("b")).distinct()
-    step, seen = reach, reach.count()
+    """All (a, b) that a path joins: each round lengthens the pairs that the round before found, until none is new."""
+    reach = fresh = _cut(edges.select(F.col(a).alias("a"), F.col(b).alias("b")).distinct())
+    step = reach.select(F.col("a").alias("b"), F.col("b").alias("c"))
     for _ in range(most):
-        longer = reach.join(step.select(F.col("a").alias("b"), F.col("b").alias("c")), "b").select("a", F.col("c").alias("b"))
-        reach = reach.unionByName(longer).distinct().cache()
-        now = reach.count()
-        if now == seen:
+        longer = fresh.join(step, "b").select("a", F.col("c").alias("b")).distinct()
+        fresh = _cut(longer.join(reach, ["a", "b"], "left_anti"))
+        if fresh.isEmpty():
             return reach
-        seen = now
+        reach = reach.unionByName(fresh)
     raise ValueError("a longer chain than expected")
 
 
@@ -115,21 +115,24 @@ def nearest(points: DataFrame, targets: DataFrame, key: str, target: str, xy: tu
     4 by 4 down to `cell`, and only children of what was kept are compared, so points far from all
     targets meet the nearest cells' targets only. Targets at one place count once.
     """
-    t = targets.groupBy(*[F.col(c).alias(f"__{c}") for c in xy]).agg(F.min(F.struct(F.col(target).alias("__t"), *keep)).alias("__m"))
+    t = _cut(targets.groupBy(*[F.col(c).alias(f"__{c}") for c in xy]).agg(F.min(F.struct(F.col(target).alias("__t"), *keep)).alias("__m")))
+    p = _cut(points.select(F.col(key).alias("__k"), *[F.col(c).alias(f"__x{c}") for c in xy]))
     spans = t.agg(F.count("*").alias("n"), *[F.max(f"__{c}").alias(f"h{c}") for c in xy], *[F.min(f"__{c}").alias(f"l{c}") for c in xy]).first()
-    far = points.agg(*[F.max(c).alias(f"h{c}") for c in xy], *[F.min(c).alias(f"l{c}") for c in xy]).first()
+    far = p.agg(*[F.max(f"__x{c}").alias(f"h{c}") for c in xy], *[F.min(f"__x{c}").alias(f"l{c}") for c in xy]).first()
     if spans[1] is None or far[0] is None:
         kept = {c: kind for c, kind in targets.dtypes if c in keep}
         return points.select(key, F.lit(None).cast(dict(targets.dtypes)[target]).alias(target), F.lit(None).cast("double").alias("distance"), *[F.lit(None).cast(kept[c]).alias(c) for c in keep]).limit(0)
     reach = max(max(spans[f"h{c}"], far[f"h{c}"]) - min(spans[f"l{c}"], far[f"l{c}"]) for c in xy)
     if cell is None:  # as wide as holds about four targets, also where they lie close together
-        cell, t = max(reach, 1e-9) * min(1.0, (4.0 / spans["n"]) ** (1.0 / len(xy))), t.cache()
-        while spans["n"] > 4 * t.select(*[F.floor(F.col(f"__{c}") / cell) for c in xy]).distinct().count():
-            cell /= 2.0
+        cell = max(reach, 1e-9) * min(1.0, (4.0 / spans["n"]) ** (1.0 / len(xy)))
+        width = F.lit(cell) / F.pow(F.lit(2.0), F.col("half"))
+        cut = t.select(F.explode(F.sequence(F.lit(0), F.lit(15))).alias("half"), *[f"__{c}" for c in xy])  # one pass counts the cells that hold targets at each width
+        held = cut.groupBy("half").agg(F.approx_count_distinct(F.struct(*[F.floor(F.col(f"__{c}") / width) for c in xy])).alias("n"))
+        cell /= 2 ** min((r.half for r in held.collect() if spans["n"] <= 4 * r.n), default=15)
     pc, tc = [f"__p{i}" for i in range(len(xy))], [f"__q{i}" for i in range(len(xy))]
-    a = points.select(F.col(key).alias("__k"), *[F.col(c).alias(f"__x{c}") for c in xy], *[F.floor(F.col(c) / cell).alias(n) for c, n in zip(xy, pc, strict=True)])
+    a = p.select("*", *[F.floor(F.col(f"__x{c}") / cell).alias(n) for c, n in zip(xy, pc, strict=True)])
     b = t.select("*", *[F.floor(F.col(f"__{c}") / cell).alias(n) for c, n in zip(xy, tc, strict=True)])
-    full, held = (d.select(*n).distinct().dropna().cache() for d, n in ((a, pc), (b, tc)))
+    full, held = (_cut(d.select(*n).distinct().dropna()) for d, n in ((a, pc), (b, tc)))
     levels = 0
     while cell * 4**levels < reach:
         levels += 1
@@ -170,12 +173,7 @@ def toward_hanging_wall(dip_direction: Column, downthrow: Column) -> Column:
 
 
 def _cut(df: DataFrame) -> DataFrame:
-    """`df` computed into the shared checkpoint folder, as a new source: else each round's plan holds all before it, and its size estimate the product of theirs."""
-    spark = df.sparkSession
-    if not spark.sparkContext.getCheckpointDir():  # only where the session names none, as in local tests
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="strataspark-"))
-    done = df.checkpoint()._jdf
-    return DataFrame(spark._jsparkSession.createDataFrame(done.toJavaRDD(), done.schema()), spark)
+    return staged(df, "relations")
 
 
 def clusters(points: DataFrame, key: str, x: str, y: str, reach: float) -> DataFrame:
@@ -195,15 +193,16 @@ def clusters(points: DataFrame, key: str, x: str, y: str, reach: float) -> DataF
     spots = places.select("x", "y", "cx", "cy").distinct().join(nodes, ["cx", "cy"])
     a, b = (spots.select(F.col("node").alias(f"k{n}"), F.col("x").alias(f"x{n}"), F.col("y").alias(f"y{n}")) for n in "ab")
     edges = _cut(near_pairs(a, b, reach, ("xa", "ya"), ("xb", "yb")).where("ka <> kb").select("ka", "kb").distinct())
-    label = _cut(nodes.select("node", F.col("node").alias("label")))
+    label = nodes.select("node", F.col("node").alias("label"))
     while not edges.isEmpty():
-        up = _cut(edges.groupBy(F.col("ka").alias("k")).agg(F.min("kb").alias("low")).select("k", F.least("k", "low").alias("up")))
-        while True:
-            nxt = _cut(up.join(up.select(F.col("k").alias("up"), F.col("up").alias("far")), "up").select("k", F.col("far").alias("up"), (F.col("up") != F.col("far")).alias("moved")))
-            up = nxt.select("k", "up")
-            if nxt.where("moved").isEmpty():
-                break
-        label = _cut(label.join(up.withColumnRenamed("k", "label"), "label", "left").select("node", F.coalesce("up", "label").alias("label")))
+        up = edges.groupBy(F.col("ka").alias("k")).agg(F.min("kb").alias("low")).select("k", F.least("k", "low").alias("up"))
+        up, moved = _cut(up), True
+        while moved:  # two steps up a chain per round, then two from there
+            above = up.select(F.col("k").alias("up"), F.col("up").alias("far"))
+            twice = up.join(above, "up").select("k", F.col("up").alias("was"), F.col("far").alias("up"))
+            up = _cut(twice.join(above, "up").select("k", F.col("far").alias("up"), (F.col("was") != F.col("far")).alias("moved")))
+            moved, up = not up.where("moved").isEmpty(), up.select("k", "up")
+        label = label.join(up.withColumnRenamed("k", "label"), "label", "left").select("node", F.coalesce("up", "label").alias("label"))
         for end in ("ka", "kb"):
             edges = edges.join(up.select(F.col("k").alias(end), F.col("up").alias(f"{end}u")), end)
         edges = _cut(edges.where("kau <> kbu").select(F.col("kau").alias("ka"), F.col("kbu").alias("kb")).distinct())

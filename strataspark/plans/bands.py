@@ -7,12 +7,19 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Bands up to which a lookup becomes one CASE; beyond, a lookup array is searched by bucket.
+#: Bands up to which a lookup becomes one CASE; beyond, the bands are halved at a bound, so a row meets the log of their number.
 CASE_BANDS = 64
 
 
 def case_of(value: Column, bands: Sequence[tuple[float | None, float | None, object]], otherwise: object = None) -> Column:
     """The result of the open band (low, high) that holds the value; the last of several matches wins. None: no bound."""
+    lows = sorted(low for low, _, _ in bands if low is not None)
+    if len(bands) > CASE_BANDS and lows:
+        middle = lows[len(lows) // 2]
+        below = [b for b in bands if b[0] is None or b[0] < middle]
+        above = [b for b in bands if b[1] is None or b[1] > middle]
+        if max(len(below), len(above)) < len(bands):
+            return F.when(value <= F.lit(middle), case_of(value, below, otherwise)).otherwise(case_of(value, above, otherwise))
     out = F.lit(otherwise)
     for low, high, result in bands:
         hit = F.lit(True)

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+
+_written: list[tuple[SparkSession, str]] = []
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
@@ -17,3 +20,29 @@ def shared_path(spark: SparkSession, name: str) -> str:
         found = tempfile.mkdtemp(prefix="strataspark-")
         spark.sparkContext.setCheckpointDir(found)
     return f"{found.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def staged(df: DataFrame, name: str) -> DataFrame:
+    """`df` written once into the shared folder and read back, so that a loop's plan doesn't hold all rounds before.
+
+    A lost executor costs a retry of a task, and the files tell the optimiser their true size. They go with `drop_staged` or at exit.
+    """
+    spark = df.sparkSession
+    path = shared_path(spark, name)
+    df.write.parquet(path)
+    _written.append((spark, path))
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def drop_staged() -> None:
+    """Deletes every staged table of this process; call it when the results have been written."""
+    while _written:
+        spark, path = _written.pop()
+        try:
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+        except Exception:  # noqa: BLE001  the session may have ended
+            return
+
+
+atexit.register(drop_staged)
