@@ -11,7 +11,7 @@ from .catalogue import register
 from .catalogue_geometry import plane_triangles
 from .functions import tidy
 from .functions.grid import Grid
-from .sinks import text
+from .sinks import recipe, text
 from .sources import config, files
 from .sources.shared import shared_path
 
@@ -183,3 +183,25 @@ def file_names(u: DataFrame) -> DataFrame:
     """Addresses with the box and the projection filled in."""
     template = F.concat(F.lit("https://maps/"), F.lower("unit"), F.lit("?box={BBOX_STR}&crs={PROJ_STR}"))
     return u.select("unit", config.with_box(template, (0.0, 5.0, 10.0, 15.0), "EPSG:28350").alias("address"))
+
+
+@register("strat_units", "SELECT CAST(grp AS BIGINT) AS grp, CAST(pos AS BIGINT) AS pos, unit, thickness FROM strat_units")
+def recipe_column(u: DataFrame) -> DataFrame:
+    """The column of a model whose recipe was written and read back."""
+    none = u.sparkSession.createDataFrame([], "name string, kind string, faults array<string>")
+    path = recipe.save(shared_path(u.sparkSession, "recipe"), ([0.0, 0.0, 0.0], [10.0, 10.0, 10.0], [5, 5, 5]), u, none)
+    return recipe.load(u.sparkSession, path).column
+
+
+@register("obs_points", "SELECT feature_name AS feature, count(*) AS n, round(avg(X), 6)+0.0 AS mean_x, CASE WHEN feature_name = 'A' THEN 1 ELSE 0 END AS n_faults FROM obs_points GROUP BY feature_name")
+def recipe_features(p: DataFrame) -> DataFrame:
+    """Features of a model read back from its recipe, with the observations of each by the path that it names; faults that aren't features go."""
+    spark = p.sparkSession
+    data = shared_path(spark, "observations")
+    p.select("pid", "X", "Y", "Z", "val", "feature_name").write.parquet(data)
+    names = p.select(F.col("feature_name").alias("name")).distinct()
+    features = names.select("name", F.lit("foliation").alias("kind"), F.when(F.col("name") == "A", F.array(F.lit("N"), F.lit("unknown"))).otherwise(F.array().cast("array<string>")).alias("faults"))
+    column = spark.createDataFrame([], "grp bigint, pos bigint, unit string, thickness double")
+    back = recipe.load(spark, recipe.save(shared_path(spark, "recipe"), ([0.0] * 3, [10.0] * 3, [5] * 3), column, features, data))
+    got = back.data.groupBy(F.col("feature_name").alias("name")).agg(F.count("*").alias("n"), tidy(F.avg("X")).alias("mean_x"))
+    return back.features.join(got, "name").select(F.col("name").alias("feature"), "n", "mean_x", F.size("faults").alias("n_faults"))
