@@ -15,6 +15,13 @@ def timed(records: DataFrame, ts: str = "ts", late: str = "10 minutes") -> DataF
     return out.withWatermark(ts, late) if out.isStreaming else out
 
 
+def to_milliseconds(records: DataFrame, ts: str = "ts") -> DataFrame:
+    """Time in whole milliseconds, halves away from 1970, as `epoch_ms` counts it: the last half millisecond of an hour is in the next."""
+    micros = F.unix_micros(F.col(ts).cast("timestamp"))
+    half = F.when(micros < 0, F.lit(-500)).otherwise(F.lit(500))
+    return records.withColumn(ts, F.timestamp_millis(F.call_function("div", micros + half, F.lit(1000))))
+
+
 def stage_statistics(records: DataFrame) -> DataFrame:
     return records.groupBy("stage").agg(F.count("*").alias("n"), F.avg("duration_s").alias("mean_s"), F.min("duration_s").alias("min_s"), F.max("duration_s").alias("max_s"))
 
