@@ -12,7 +12,7 @@ def square_to_segment(p: Point, a: Point, b: Point) -> Column:
     """The square of the distance from a point to a segment."""
     dx, dy = b[0] - a[0], b[1] - a[1]
     size = dx * dx + dy * dy
-    along = ((p[0] - a[0]) * dx + (p[1] - a[1]) * dy) / F.nullif(size, F.lit(0.0))
+    along = F.try_divide((p[0] - a[0]) * dx + (p[1] - a[1]) * dy, size)
     t = F.coalesce(F.least(F.greatest(along, F.lit(0.0)), F.lit(1.0)), F.lit(0.0))
     x, y = a[0] + t * dx - p[0], a[1] + t * dy - p[1]
     return x * x + y * y
@@ -28,10 +28,14 @@ def crossing(a: Point, b: Point, c: Point, d: Point) -> Column:
     return (side(a, c, d) * side(b, c, d) < 0) & (side(c, a, b) * side(d, a, b) < 0)
 
 
+def square_ends(a: Point, b: Point, c: Point, d: Point) -> Column:
+    """The square of the least distance of an end of two segments from the other one: their distance, unless they cross."""
+    return F.least(square_to_segment(a, c, d), square_to_segment(b, c, d), square_to_segment(c, a, b), square_to_segment(d, a, b))
+
+
 def square_distance(a: Point, b: Point, c: Point, d: Point) -> Column:
     """The square of the distance of two segments."""
-    ends = F.least(square_to_segment(a, c, d), square_to_segment(b, c, d), square_to_segment(c, a, b), square_to_segment(d, a, b))
-    return F.when(crossing(a, b, c, d), F.lit(0.0)).otherwise(ends)
+    return F.when(crossing(a, b, c, d), F.lit(0.0)).otherwise(square_ends(a, b, c, d))
 
 
 def clipped(a: Point, b: Point, low: tuple[Column, Column], high: tuple[Column, Column]) -> tuple[Column, Column]:

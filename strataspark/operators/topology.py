@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from math import isfinite, sqrt
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,22 +27,31 @@ def _box(df: DataFrame, more: float = 0.0) -> tuple[tuple[Column, Column], tuple
 def near_faults(segments: DataFrame, reach: float, key: str = "id", cell: float | None = None) -> DataFrame:
     """(fault1, fault2) with fault1 > fault2 for faults within `reach` of each other, once each.
 
-    The widened box of one side and the box of the other are dealt to cells; a pair that meets in
-    several cells is kept in the first, where both boxes begin, so nothing must be made distinct but
-    faults of several segments.
+    The widened box of one side and the box of the other are dealt to cells as wide as the geometric mean
+    of the two boxes, at which the fewest rows meet; a pair that meets in several cells is kept in the
+    first, where both boxes begin, so nothing must be made distinct but faults of several segments. Only
+    pairs whose boxes touch get a distance. Ends are doubles from the start: decimals take many times as long.
     """
-    cell = cell or max(4 * reach, 1.0)
+    segments = segments.select(key, *[F.col(c).cast("double").alias(c) for c in ENDS])
     (lx, ly), (hx, hy) = _box(segments, reach)
-    wide = _cells(segments.withColumns({"lx": lx, "ly": ly}), (lx, ly), (hx, hy), cell)
     (mx, my), (nx, ny) = _box(segments)
-    thin = _cells(segments.withColumns({"mx": mx, "my": my}), (mx, my), (nx, ny), cell)
-    wide = wide.select("cx", "cy", "lx", "ly", F.col(key).alias("fault1"), *[F.col(c).alias(f"p_{c}") for c in ENDS])
-    thin = thin.select("cx", "cy", "mx", "my", F.col(key).alias("fault2"), *[F.col(c).alias(f"q_{c}") for c in ENDS])
+    known = segments.agg(F.count(key).alias("rows"), F.count_distinct(key).alias("faults"), F.avg(F.greatest(nx - mx, ny - my)).alias("size")).first()
+    if cell is None:
+        size = known.size if known.size is not None and isfinite(known.size) else 0.0
+        cell = max(sqrt(size * (size + 2 * reach)), reach, 1.0)
+    wide = _cells(segments.withColumns({"lx": lx, "ly": ly, "hx": hx, "hy": hy}), (lx, ly), (hx, hy), cell)
+    thin = _cells(segments.withColumns({"mx": mx, "my": my, "nx": nx, "ny": ny}), (mx, my), (nx, ny), cell)
+    wide = wide.select("cx", "cy", "lx", "ly", "hx", "hy", F.col(key).alias("fault1"), *[F.col(c).alias(f"p_{c}") for c in ENDS])
+    thin = thin.select("cx", "cy", "mx", "my", "nx", "ny", F.col(key).alias("fault2"), *[F.col(c).alias(f"q_{c}") for c in ENDS])
     first = (F.col("cx") == F.floor(F.greatest("lx", "mx") / cell)) & (F.col("cy") == F.floor(F.greatest("ly", "my") / cell))
-    met = wide.join(thin, ["cx", "cy"]).where((F.col("fault1") > F.col("fault2")) & first)
+    touch = (F.col("mx") <= F.col("hx")) & (F.col("nx") >= F.col("lx")) & (F.col("my") <= F.col("hy")) & (F.col("ny") >= F.col("ly"))
+    met = wide.join(thin, ["cx", "cy"]).where((F.col("fault1") > F.col("fault2")) & touch & first)
     point = lambda s, e: (F.col(f"{s}_{e}x"), F.col(f"{s}_{e}y" if e == "a" else f"{s}_by_"))
-    gap = lines.square_distance(point("p", "a"), point("p", "b"), point("q", "a"), point("q", "b"))
-    return met.where(gap <= reach * reach).select("fault1", "fault2").distinct()
+    ends = point("p", "a"), point("p", "b"), point("q", "a"), point("q", "b")
+    # as columns, whose common parts are computed once; explode keeps the optimiser from writing them out in the join's condition, a method too long to be compiled
+    found = met.select("fault1", "fault2", lines.crossing(*ends).alias("cross"), lines.square_ends(*ends).alias("gap"))
+    found = found.select("fault1", "fault2", F.explode(F.array(F.struct("cross", "gap"))).alias("f")).where(F.col("f.cross") | (F.col("f.gap") <= reach * reach)).select("fault1", "fault2")
+    return found if known.rows == known.faults else found.distinct()
 
 
 def fault_relations(segments: DataFrame, reach: float, key: str = "id") -> DataFrame:

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import decimal
 import itertools
 import math
+import re
 
 import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from strataspark import catalogue
 from strataspark.functions import profiles
 from strataspark.functions.grid import Grid
 from strataspark.operators import network, system, topology
@@ -118,6 +121,25 @@ def test_faults_near_each_other_by_brute_force(spark):
         assert ((b, a) in got) == (gap <= 3.0) or abs(gap - 3.0) < 0.1
 
 
+def test_the_distance_of_faults_is_code_that_the_jvm_compiles(spark, sf_dir):
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")}
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = catalogue.queries()["fault_fault_relations"](spark, sf_dir)._jdf.queryExecution()
+        sizes = re.findall(r"maxMethodCodeSize:(\d+)", spark._jvm.PythonSQLUtils.explainString(plan, "codegen"))
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+    assert sizes and max(map(int, sizes)) < 8000  # longer methods are interpreted
+
+
+def test_faults_of_several_decimal_segments_meet_once(spark):
+    rows = [(1, "0.5", "0.0", "9.5", "0.0"), (1, "9.5", "0.0", "20.0", "0.0"), (2, "0.5", "0.0", "9.5", "0.0"), (3, "30.0", "4.0", "30.0", "4.0"), (3, "9.5", "3.0", "9.5", "9.0"), (4, "10.0", "-3.5", "12.0", "-3.5")]
+    segments = spark.createDataFrame([(i, *map(decimal.Decimal, r)) for i, *r in rows], "id long, ax decimal(22,1), ay decimal(22,1), bx decimal(22,1), by_ decimal(22,1)")
+    assert sorted(map(tuple, topology.near_faults(segments, 3.0).collect())) == [(2, 1), (3, 1), (3, 2)]
+
+
 def test_two_crossing_faults_and_two_squares(spark):
     faults = spark.createDataFrame([(1, 0.0, 0.0, 10.0, 10.0), (2, 0.0, 10.0, 10.0, 0.0), (3, 90.0, 0.0, 99.0, 0.0)], "id long, ax double, ay double, bx double, by_ double")
     assert [tuple(r) for r in topology.fault_relations(faults, 1.0).collect()] == [(2, 1, 60, "T")]
