@@ -176,35 +176,66 @@ def _cut(df: DataFrame) -> DataFrame:
     return staged(df, "relations")
 
 
-def clusters(points: DataFrame, key: str, x: str, y: str, reach: float) -> DataFrame:
-    """Single-link clusters: points within `reach` of each other share the smallest key.
+def _merged(left: DataFrame, right: DataFrame, on: str | list[str], how: str = "inner") -> DataFrame:
+    """A join without broadcast: staged tables are small as files, but not in the driver's memory."""
+    return left.join(right.hint("merge"), on, how)
 
-    Points at one place and in one cell whose diagonal is within `reach` are one node. Each round a node
-    joins its smallest neighbour, chains are followed to their ends, and edges are drawn between what
-    is left, so a long chain takes few rounds.
-    """
-    from ..plans.bands import near_pairs
 
-    side = reach / 2**0.5 * (1 - 1e-9)
-    cells = [F.floor(F.col(c) / side).alias(n) for c, n in ((x, "cx"), (y, "cy"))]
-    lone = F.col(x).isNull() | F.col(y).isNull()
-    places = points.where(~lone).select(F.col(key).alias("k"), F.col(x).alias("x"), F.col(y).alias("y"), *cells)
-    nodes = places.groupBy("cx", "cy").agg(F.min("k").alias("node"))
-    spots = places.select("x", "y", "cx", "cy").distinct().join(nodes, ["cx", "cy"])
-    a, b = (spots.select(F.col("node").alias(f"k{n}"), F.col("x").alias(f"x{n}"), F.col("y").alias(f"y{n}")) for n in "ab")
-    edges = _cut(near_pairs(a, b, reach, ("xa", "ya"), ("xb", "yb")).where("ka <> kb").select("ka", "kb").distinct())
+def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(node, label): the smallest node that edges (ka, kb) join to each node.
+
+    Each round a node joins its smallest neighbour, chains are followed to their ends, and edges are drawn
+    between what is left, so a long chain takes few rounds.
+    """
+    edges = _cut(edges.select("ka", "kb").unionByName(edges.select(F.col("kb").alias("ka"), F.col("ka").alias("kb"))).distinct())
     label = nodes.select("node", F.col("node").alias("label"))
     while not edges.isEmpty():
         up = edges.groupBy(F.col("ka").alias("k")).agg(F.min("kb").alias("low")).select("k", F.least("k", "low").alias("up"))
         up, moved = _cut(up), True
         while moved:  # two steps up a chain per round, then two from there
             above = up.select(F.col("k").alias("up"), F.col("up").alias("far"))
-            twice = up.join(above, "up").select("k", F.col("up").alias("was"), F.col("far").alias("up"))
-            up = _cut(twice.join(above, "up").select("k", F.col("far").alias("up"), (F.col("was") != F.col("far")).alias("moved")))
+            twice = _merged(up, above, "up").select("k", F.col("up").alias("was"), F.col("far").alias("up"))
+            up = _cut(_merged(twice, above, "up").select("k", F.col("far").alias("up"), (F.col("was") != F.col("far")).alias("moved")))
             moved, up = not up.where("moved").isEmpty(), up.select("k", "up")
-        label = label.join(up.withColumnRenamed("k", "label"), "label", "left").select("node", F.coalesce("up", "label").alias("label"))
+        label = _cut(_merged(label, up.withColumnRenamed("k", "label"), "label", "left").select("node", F.coalesce("up", "label").alias("label")))
         for end in ("ka", "kb"):
-            edges = edges.join(up.select(F.col("k").alias(end), F.col("up").alias(f"{end}u")), end)
+            edges = _merged(edges, up.select(F.col("k").alias(end), F.col("up").alias(f"{end}u")), end)
         edges = _cut(edges.where("kau <> kbu").select(F.col("kau").alias("ka"), F.col("kbu").alias("kb")).distinct())
-    found = places.select("k", "cx", "cy").join(nodes, ["cx", "cy"]).join(label, "node").select(F.col("k").alias(key), F.col("label").alias("cluster"))
+    return label
+
+
+def clusters(points: DataFrame, key: str, x: str, y: str, reach: float) -> DataFrame:
+    """Single-link clusters: points within `reach` of each other share the smallest key.
+
+    Points of a cell, whose diagonal is within `reach`, are one node; cells side by side are always within
+    reach. Other cells near each other are told apart by the boxes of their points where these are within
+    reach as a whole or not at all. Only cells that are neither, and that the rest hasn't joined, compare
+    their places, so dense points cost no more than the cells they fill.
+    """
+    side = reach / 5**0.5 * (1 - 1e-9)
+    cells = [F.floor(F.col(c) / side).alias(n) for c, n in ((x, "cx"), (y, "cy"))]
+    lone = F.col(x).isNull() | F.col(y).isNull()
+    places = points.where(~lone).select(F.col(key).alias("k"), F.col(x).alias("x"), F.col(y).alias("y"), *cells)
+    spots = _cut(places.groupBy("x", "y", "cx", "cy").agg(F.min("k").alias("k")))
+    nodes = _cut(spots.groupBy("cx", "cy").agg(F.min("k").alias("node"), *[f(c).alias(f"{n}{c}") for c in "xy" for f, n in ((F.min, "l"), (F.max, "h"))]))
+    around = [(i, j) for i in range(4) for j in range(-3, 4) if (i, j) > (0, 0) and (i, abs(j)) != (3, 3)]
+    a, b = (nodes.select(*[F.col(c).alias(f"{c}{n}") for c in nodes.columns]) for n in "ab")
+    a = a.withColumn("at", F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in around])))
+    a = a.withColumns({"cxb": F.col("cxa") + F.col("at.i"), "cyb": F.col("cya") + F.col("at.j")}).drop("at")
+    most = [F.greatest(f"h{c}a", f"h{c}b") - F.least(f"l{c}a", f"l{c}b") for c in "xy"]
+    least = [F.greatest(F.col(f"l{c}b") - F.col(f"h{c}a"), F.col(f"l{c}a") - F.col(f"h{c}b"), F.lit(0.0)) for c in "xy"]
+    size = lambda d: F.sqrt(d[0] * d[0] + d[1] * d[1])
+    near = _merged(a, b, ["cxb", "cyb"]).where(size(least) <= reach)
+    near = _cut(near.select(F.col("nodea").alias("ka"), F.col("nodeb").alias("kb"), "cxa", "cya", "cxb", "cyb", (size(most) <= reach).alias("joined")))
+    label = components(nodes, near.where("joined"))
+    unsure = near.where("not joined")
+    for n in "ab":
+        unsure = _merged(unsure, label.select(F.col("node").alias(f"k{n}"), F.col("label").alias(f"label{n}")), f"k{n}")
+    unsure = _cut(unsure.where("labela <> labelb").select("labela", "labelb", "cxa", "cya", "cxb", "cyb"))
+    for n in "ab":
+        unsure = _merged(unsure, spots.select(*[F.col(c).alias(f"{c}{n}") for c in ("x", "y", "cx", "cy")]), [f"cx{n}", f"cy{n}"])
+    met = unsure.where(size([F.col(f"{c}a") - F.col(f"{c}b") for c in "xy"]) <= reach).select(F.col("labela").alias("ka"), F.col("labelb").alias("kb"))
+    last = components(label.select(F.col("label").alias("node")).distinct(), met)
+    label = _merged(label, last.select(F.col("node").alias("label"), F.col("label").alias("cluster")), "label").select("node", "cluster")
+    found = _merged(places.select("k", "cx", "cy"), _merged(nodes, label, "node").select("cx", "cy", "cluster"), ["cx", "cy"]).select(F.col("k").alias(key), "cluster")
     return found.unionByName(points.where(lone).select(key, F.col(key).alias("cluster")))

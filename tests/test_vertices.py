@@ -72,6 +72,30 @@ def test_a_long_chain_and_dense_spots_are_clusters(spark):
     assert got == dict(enumerate(label.tolist())) | {9999: 9999}
 
 
+def test_dense_places_cost_no_pairs_and_no_broadcast(spark, monkeypatch):
+    rng = np.random.Generator(np.random.PCG64(5))
+    band = lambda y: np.stack([rng.uniform(0, 12, 400), rng.uniform(y, y + 0.5, 400)], axis=1)
+    bridge = [[6.0, 7.5 + i * 1.9] for i in range(3)]
+    xy = np.concatenate([band(0), band(2.3), band(5), band(14), bridge, rng.uniform(-30, 0, (60, 2))])
+    xy = xy[rng.permutation(len(xy))]
+    staged = []
+    cut = relations._cut
+
+    def seen(df):
+        out = cut(df)
+        staged.append((out.count(), df._jdf.queryExecution().optimizedPlan().toString()))
+        return out
+
+    monkeypatch.setattr(relations, "_cut", seen)
+    df = spark.createDataFrame([(i, *map(float, p)) for i, p in enumerate(xy)], "k long, x double, y double")
+    found = relations.clusters(df, "k", "x", "y", 2.0)
+    assert {r.k: r.cluster for r in found.collect()} == dict(enumerate(linked(xy, 2.0).tolist()))
+    assert max(n for n, _ in staged) < 3 * len(xy)  # the places within reach of each other are over 100 pairs for each
+    plans = [p for _, p in staged] + [found._jdf.queryExecution().optimizedPlan().toString()]
+    assert any("Join" in p for p in plans)
+    assert all("strategy=merge" in x for p in plans for x in p.splitlines() if "Join " in x)
+
+
 def test_far_points_find_the_nearest(spark):
     rng = np.random.Generator(np.random.PCG64(4))
     to, at = np.concatenate([rng.normal(0, 1, (300, 2)), rng.uniform(-500, -400, (20, 2))]), rng.uniform(-1000, 1000, (300, 2))
