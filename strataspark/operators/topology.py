@@ -45,7 +45,7 @@ def near_faults(segments: DataFrame, reach: float, key: str = "id", cell: float
     thin = thin.select("cx", "cy", "mx", "my", "nx", "ny", F.col(key).alias("fault2"), *[F.col(c).alias(f"q_{c}") for c in ENDS])
     first = (F.col("cx") == F.floor(F.greatest("lx", "mx") / cell)) & (F.col("cy") == F.floor(F.greatest("ly", "my") / cell))
     touch = (F.col("mx") <= F.col("hx")) & (F.col("nx") >= F.col("lx")) & (F.col("my") <= F.col("hy")) & (F.col("ny") >= F.col("ly"))
-    met = wide.join(thin, ["cx", "cy"]).where((F.col("fault1") > F.col("fault2")) & touch & first)
+    met = wide.join(thin.hint("merge"), ["cx", "cy"]).where((F.col("fault1") > F.col("fault2")) & touch & first)
     point = lambda s, e: (F.col(f"{s}_{e}x"), F.col(f"{s}_{e}y" if e == "a" else f"{s}_by_"))
     ends = point("p", "a"), point("p", "b"), point("q", "a"), point("q", "b")
     # as columns, whose common parts are computed once; explode keeps the optimiser from writing them out in the join's condition, a method too long to be compiled
